@@ -64,7 +64,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int,
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     got = picked.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, places binary").toPandas()
     got = got.sort_values(["doc_id", "places"], kind="stable").head(rows)
-    return [np.frombuffer(p, "<u4").astype(np.int64) for p in got["places"]], (got["label"].to_numpy() > 0).astype(np.int64)
+    return [np.frombuffer(p, "<u4") for p in got["places"]], (got["label"].to_numpy() > 0).astype(np.int64)
+
+
+def place_counts(rows: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of the rows that have each place, some rows at a time."""
+    out = np.zeros(1 << BITS)
+    for lo in range(0, len(rows), 500):
+        part = rows[lo : lo + 500]
+        out += np.bincount(np.concatenate(part), np.repeat(weights[lo : lo + 500], [len(r) for r in part]), 1 << BITS)
+    return out
 
 
 def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -97,19 +97,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     if len(y) < 40 or len(np.unique(y[order[:cut]])) < 2:
         cut = len(y)
     train, test = order[:cut], order[cut:] if cut < len(y) else order
-    doc, place = lb.csr([rows[i] for i in train])
-    good = y[train][doc] > 0
-    p, q = 1.0 + np.bincount(place[good], minlength=size), 1.0 + np.bincount(place[~good], minlength=size)
+    picked = [rows[i] for i in train]
+    p, q = 1.0 + lb.place_counts(picked, y[train]), 1.0 + lb.place_counts(picked, 1 - y[train])
     seen = p + q - 2 >= min(3, cut)
-    ratio = np.where(seen, np.log((p / p.sum()) / (q / q.sum())), 0.0)
-    scaled = [ratio[rows[i]] for i in train]
-    scaled = [v / max(1e-9, float(np.sqrt(v @ v))) for v in scaled]
+    ratio = np.where(seen, np.log((p / p.sum()) / (q / q.sum())), 0.0).astype(np.float32)
+
+    def unit(row: np.ndarray) -> np.ndarray:
+        v = ratio[row]
+        return v / max(1e-9, float(np.sqrt(v @ v)))
+
     sign = np.where(y[train] > 0, 1.0, -1.0)
     balance = np.where(sign > 0, 0.5 / max(1e-3, (sign > 0).mean()), 0.5 / max(1e-3, (sign < 0).mean()))
-    w = hinge_dual([rows[i] for i in train], scaled, sign, COST * 10 * balance, size)
-    model = Model(ratio.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]), 1.0, 0.0)
-    doc, place = lb.csr([rows[i] for i in test])
-    model.slope, model.shift = _sigmoid(model.margin(len(test), doc, place), y[test])
+    w = hinge_dual(picked, [unit(r) for r in picked], sign, COST * 10 * balance, size)
+    model = Model(ratio, w[:-1].astype(np.float32), float(w[-1]), 1.0, 0.0)
+    margins = [model.margin(len(part), *lb.csr([rows[i] for i in part])) for part in (test[k : k + 500] for k in range(0, len(test), 500))]
+    model.slope, model.shift = _sigmoid(np.concatenate(margins), y[test])
     return model
 
 

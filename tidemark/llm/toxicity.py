@@ -55,9 +55,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     m = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
     if not len(y):
         return m
-    row, place = lb.csr(rows)
-    seen = np.bincount(place, minlength=size).astype(float)
-    toxic = np.bincount(place, y[row], size)
+    seen, toxic = lb.place_counts(rows, np.ones(len(y))), lb.place_counts(rows, y)
     n, t = float(len(y)), float(y.sum())
     gap = toxic * n - seen * t  # chi-square of the place and the label
     chi = gap**2 * n / np.maximum(seen * (n - seen) * t * (n - t), 1.0)
