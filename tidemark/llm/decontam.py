@@ -194,14 +194,16 @@ def _search(w: Windows, slop: int):
     return run
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block: int = ITEMS) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, block: int = ITEMS, stored: bool = False) -> DataFrame:
     """One row an indexed document: segment, doc, doc_id, n_words, items (ids of
-    the items with a matching window, sorted), spans (words, end exclusive)."""
+    the items with a matching window, sorted), spans (words, end exclusive). An
+    index that isn't ``stored`` is written first if several blocks have to read it."""
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     n = items.count()
     parts = [items] if n <= block else []
     if not parts:
         placed = materialize(ranked(items, [], ["item_id", "text"], "items"), "items")
+        index = index if stored else materialize(index, "postings")
         parts = [placed.filter((F.col("rank") >= lo) & (F.col("rank") < lo + block)) for lo in range(0, n, block)]
     hits = None
     for part in parts:
@@ -217,7 +219,7 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items, contaminated."""
-    hits = search(materialize(build_index(docs), "postings"), items, window, slop)
+    hits = search(materialize(build_index(docs), "postings"), items, window, slop, stored=True)
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")),
