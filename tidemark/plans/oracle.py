@@ -215,6 +215,10 @@ SELECT 4::BIGINT AS file_count, 440401920::BIGINT AS total_bytes, 2::BIGINT AS s
     "compaction_preserves_rows": _all("customer"),
     "compaction_disjoint_ranges": "SELECT 0::BIGINT AS overlaps, count(*) AS records FROM customer",
     "compaction_brute_run": "SELECT 'compact' AS operation, false AS user_created, 1::BIGINT AS files, count(*) AS records, count(*) AS scanned FROM customer",
+    "scalar_functions": """
+SELECT c_custkey, c_mktsegment AS segment, round(c_acctbal, 2) AS balance, NULL::DOUBLE AS no_number, c_mktsegment AS first_part, c_name AS second_part,
+  0.0::DOUBLE + (c_custkey::DOUBLE - 0.0::DOUBLE) / 4 * 2 AS middle,
+  '{"b":"' || lower(hex(substr(c_mktsegment, 1, 2))) || '","k":' || c_custkey || '}' AS doc FROM customer""",
     "catalog_listing": "SELECT * FROM (VALUES ('col_a', 'dataset', 'nation'), ('col_b', 'view', 'v')) t(collection, kind, name)",
     "dataset_exists_matrix": "SELECT * FROM (VALUES ('sales.orders', true), ('sales,orders', true), ('sales.none', false), ('none.none', false), ('orders', NULL)) t(name, found)",
     "catalog_errors": """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import errors
 from tidemark.functions import distogram as dg
-from tidemark.functions import kmv
+from tidemark.functions import kmv, scalars
 from tidemark.operators import events as ev
 from tidemark.operators import inspect as ins
 from tidemark.operators import manifest as mf
@@ -540,6 +540,20 @@ def compaction_brute_run(spark, d):
     return _rows(spark, [(s.operation_type, s.user_created, s.summary["total-data-files"], s.summary["total-records"], ds.scan().count())], "operation string, user_created boolean, files long, records long, scanned long")
 
 
+# --- scalar functions ---------------------------------------------------------------
+
+
+@query
+def scalar_functions(spark, d):
+    rows = fx.table(spark, d, "customer").select("c_custkey", F.concat(F.encode("c_mktsegment", "UTF-8"), F.unhex(F.lit("FFFF"))).alias("raw"), F.concat(F.lit(" "), F.col("c_acctbal").cast("string")).alias("t"), F.concat("c_mktsegment", F.lit("."), "c_name").alias("dotted"))
+    name = scalars.split_name(F.col("dotted"))
+    return rows.select(
+        "c_custkey", scalars.decode_bound(F.col("raw")).alias("segment"), F.round(scalars.parse_number(F.col("t")), 2).alias("balance"), scalars.parse_number(F.col("dotted")).alias("no_number"),
+        name["collection"].alias("first_part"), name["name"].alias("second_part"), scalars.linspace(F.lit(0.0), F.col("c_custkey").cast("double"), 4)[2].alias("middle"),
+        scalars.hex_json(F.struct(F.substring("raw", 1, 2).alias("b"), F.col("c_custkey").alias("k")), ["b"], ["k"]).alias("doc"),
+    )
+
+
 # --- catalog and views --------------------------------------------------------------
 
 
