@@ -1,13 +1,13 @@
 """Fuzzy line dedup by MinHash.
 
-1. The lines of all documents, lower-cased and with single spaces, meet by their
-   hash: equal lines become one node that knows its first occurrence.
+1. The lines of all documents, normalised, meet by their 64-bit hash: equal lines
+   become one node, written once with its first occurrence.
 2. A node's character shingles give a one-permutation MinHash signature of
-   ``BANDS`` x ``ROWS`` bins; empty bins borrow from others, in an order that all
-   lines share. Lines of a Jaccard similarity of ``THRESHOLD`` share a band with a
-   probability of ``1 - (1 - THRESHOLD ** ROWS) ** BANDS`` (0.998).
-3. Bands are exchanged as blobs of sorted hashes, as in ``substring``; only nodes
-   that share a band go on, as (band, node) rows.
+   ``BANDS`` x ``ROWS`` bins; an empty bin borrows from one at
+   random, the same for all lines. Lines of a Jaccard similarity of ``THRESHOLD`` share a band with a
+   probability of ``1 - (1 - THRESHOLD ** ROWS) ** BANDS`` (0.996).
+3. Band keys are exchanged as blobs of sorted keys, at most one entry a key and
+   partition; only nodes that share a band go on, as (band, node) rows.
 4. Nodes of a band are compared: all of a group of up to ``CROWD``; in a larger
    one each with its next neighbours on a ring, which joins what is alike. Then,
    in larger groups whose nodes are still of several components, those of
@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +41,22 @@ from tidemark.llm.joins import lookup
 from tidemark.llm.scratch import materialize, partitions
 
 U = np.uint64
-SHINGLE, BANDS, ROWS, THRESHOLD = 5, 16, 5, 0.8
-CROWD, RING, SALTED = 16, 8, 100_000
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 7, 0.8
+CROWD, RING, SALTED = 4, 2, 100_000
+#: Shingles of a line that are looked at first.
+SAMPLED = 64
+#: Bits of a band key that are kept: keys that agree in them cost a comparison. Entries
+#: of a blob. Chunks for each partition of a shuffle.
+KEY, PIECE, CHUNKS = 48, 1 << 18, 2
 _LAST = 2**63 - 1
 _STEP = np.array([pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(SHINGLE)], dtype=np.uint64)
 _EMPTY = U(2**64 - 1)
 
 
-def normal_lines(text: str) -> list[tuple[int, str]]:
-    """(number, normalised line) of the lines that are not blank."""
-    return [(i, " ".join(x.split())) for i, x in enumerate(text.lower().split("\n")) if x and not x.isspace()]
+def normal_lines(text: bytes) -> list[tuple[int, bytes]]:
+    """(number, normalised line) of the lines that are not blank: ASCII letters
+    lower-cased, white space at the ends cut."""
+    return [(i, x) for i, x in enumerate(map(bytes.strip, text.lower().split(b"\n"))) if x]
 
 
 def shingles(line: str) -> set[str]:
@@ -60,40 +68,48 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _orders(n: int) -> np.ndarray:
+def _probes(n: int) -> list[np.ndarray]:
+    """Where an empty bin looks, try by try: bins at random, then every bin."""
     rng = np.random.default_rng(11)
-    return np.stack([rng.permutation(n) for _ in range(4 * n)])
+    return [rng.integers(0, n, n) for _ in range(3 * n)] + [(np.arange(n) + k) % n for k in range(1, n)]
 
 
-_BORROW = _orders(BANDS * ROWS)
+_PROBES = _probes(BANDS * ROWS)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One-permutation MinHash signatures, one row of BANDS * ROWS bins a line."""
-    n, bins = len(lines), BANDS * ROWS
+def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of each shingle of each line."""
     size = np.array([max(len(x), SHINGLE) for x in lines], np.int64)
     points = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     k = len(points) - SHINGLE + 1
     h = np.zeros(k, np.uint64)
     for i in range(SHINGLE):
         h += points[i : i + k] * _STEP[i]
-    h = tx.mix(h + U(1))
-    owner = np.repeat(np.arange(n), size)
+    h = (h ^ h >> U(32)) * U(0xD6E8FEB86659FD93)
+    h ^= h >> U(32)
+    h *= U(0xC4CEB9FE1A85EC53)
+    owner = np.repeat(np.arange(len(lines)), size)
     inside = owner[:k] == owner[SHINGLE - 1 :]
-    h, owner = h[inside], owner[:k][inside]
+    return h[inside], owner[:k][inside]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """One-permutation MinHash signatures, one row of BANDS * ROWS bins a line."""
+    n, bins = len(lines), BANDS * ROWS
+    h, owner = grams(lines)
     at = owner * bins + ((h >> U(40)) * U(bins) >> U(24)).astype(np.int64)
     out = np.full(n * bins, _EMPTY)
     np.minimum.at(out, at, h & U(2**40 - 1))
     out = out.reshape(n, bins)
+    row, bin_ = np.nonzero(out == _EMPTY)
     full = out.copy()
-    for t, order in enumerate(_BORROW):
-        empty = out == _EMPTY
-        rows = np.flatnonzero(empty.any(axis=1))
-        if not len(rows):
+    for probe in _PROBES:  # most are filled after one or two
+        if not len(row):
             break
-        lent = full[rows][:, order]
-        lent = np.where(lent == _EMPTY, _EMPTY, lent + U(t + 1 << 41))
-        out[rows] = np.where(empty[rows], lent, out[rows])
+        lent = full[row, probe[bin_]]
+        out[row, bin_] = lent
+        open_ = lent == _EMPTY
+        row, bin_ = row[open_], bin_[open_]
     return out
 
 
@@ -106,199 +122,264 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return tx.mix(key)
 
 
-_LINES = "chunk int, h long, line string, doc_id long, rid long, number int"
+_LINES = "chunk int, lines binary"
+_NODES = "node long, line string, doc_id long, rid long, number int"
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about 4 MB of text."""
+    _, offsets = tx.buffers(b.column(2))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (4 << 20), "right")) - 1)
+        yield b.slice(lo, hi - lo)
+        lo = hi
 
 
 def _lines(n_chunks: int):
+    """The lines of each batch, with the first place of each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             ids, rids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            first: dict[str, tuple] = {}
-            for i, text in enumerate(b.column(2).to_pylist()):
-                if not text:
-                    continue
+            raw, offsets = tx.buffers(b.column(2))
+            first: dict[int, tuple] = {}
+            for i in range(len(ids)):
                 doc = _LAST if ids[i] is None else ids[i]
-                for number, line in normal_lines(text):
-                    place = (doc, rids[i], number)
-                    if line not in first or place < first[line]:
-                        first[line] = place
-            if not first:
-                continue
-            lines = list(first)
-            raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-            h = tx.hash_words(raw)
-            places = list(first.values())
-            chunk = (h >> U(20)) % U(n_chunks)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(chunk.astype(np.int32)),
-                    pa.array(h.view(np.int64)),
-                    pa.array(lines, pa.string()),
-                    *(pa.array([p[k] for p in places], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))),
-                ],
-                ["chunk", "h", "line", "doc_id", "rid", "number"],
-            )
+                for number, line in normal_lines(raw[offsets[i] : offsets[i + 1]].tobytes()):
+                    h = xxhash.xxh3_64_intdigest(line)
+                    old = first.get(h)
+                    if old is None or (doc, rids[i], number) < old[1:]:
+                        first[h] = (line, doc, rids[i], number)
+            if first:
+                h = np.fromiter(first, np.uint64, len(first))
+                chunk = ((h >> U(20)) % U(n_chunks)).astype(np.int64)
+                order = np.argsort(chunk, kind="stable")
+                values = list(first.values())
+                lines = [values[i][0] for i in order.tolist()]
+                places = [np.array([values[i][k] for i in order.tolist()], np.int64) for k in (1, 2, 3)]
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(h)]]).tolist()
+                parts = [_put(h[order][i:j], [p[i:j] for p in places], lines[i:j]) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[order][cuts[:-1]], pa.int32()), pa.array(parts, pa.binary())], ["chunk", "lines"])
 
     return run
 
 
-def _nodes(t: pa.Table) -> tuple[np.ndarray, list[str], list[tuple]]:
-    """Distinct lines of a chunk: hash, text, first occurrence."""
-    h = np.asarray(t.column("h")).astype(np.int64)
-    cols = [np.asarray(t.column(c)).astype(np.int64) for c in ("doc_id", "rid", "number")]
-    order = np.lexsort((cols[2], cols[1], cols[0], h))
-    keep = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])] if len(h) else order
-    lines = t.column("line").combine_chunks().take(pa.array(keep)).to_pylist()
-    return h[keep], lines, list(zip(*(c[keep].tolist() for c in cols)))
+def _put(h: np.ndarray, places: list[np.ndarray], lines: list[bytes]) -> bytes:
+    """Hashes, first places and texts of some lines, compressed."""
+    numbers = np.stack([h.view(np.int64), *places, np.array([len(x) for x in lines], np.int64)])
+    return zstandard.ZstdCompressor(level=1).compress(len(lines).to_bytes(8, "little") + numbers.tobytes() + b"".join(lines))
+
+
+def _get(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """What ``_put`` was given: rows of numbers, and the texts."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    numbers = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n)
+    ends = (8 + 40 * n + np.cumsum(numbers[4])).tolist()
+    return numbers, [raw[i:j] for i, j in zip([8 + 40 * n, *ends], ends)]
 
 
 def _keys(lines: list[str]) -> np.ndarray:
-    """Band keys, signed in blocks that bound the memory."""
+    """Band keys, made in blocks that bound the memory."""
     out, lo, size = [], 0, np.cumsum([len(x) + 40 for x in lines])
     while lo < len(lines):
-        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 19), "right")))
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (1 << 17), "right")))
         out.append(band_keys(signatures(lines[lo:hi])))
         lo = hi
     return np.concatenate(out) if out else np.zeros((0, BANDS), np.uint64)
 
 
-def _send_bands(n_buckets: int):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        _, lines, _ = _nodes(t)
-        keys, n = np.unique(_keys(lines), return_counts=True)
-        return sb._bucketed(key[0].as_py(), keys, n > 1, np.zeros(0, np.int64), n_buckets)
+def _make_nodes(key: tuple, t: pa.Table) -> pa.Table:
+    """The distinct lines of a chunk, with their first place."""
+    found = [_get(b) for b in t.column("lines").to_pylist()]
+    numbers = np.concatenate([f[0] for f in found], axis=1)
+    texts = [x for f in found for x in f[1]]
+    h, doc, rid, number, _ = numbers
+    order = np.lexsort((number, rid, doc, h))
+    keep = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
+    lines = [texts[i].decode("utf-8", "replace") for i in keep.tolist()]
+    return pa.table(
+        {
+            "node": pa.array((np.int64(key[0].as_py()) << 32) + np.arange(len(keep))),
+            "line": pa.array(lines, pa.string()),
+            "doc_id": pa.array(doc[keep]),
+            "rid": pa.array(rid[keep]),
+            "number": pa.array(number[keep], pa.int32()),
+        }
+    )
 
-    return run
 
+def _put_nodes(nodes: np.ndarray) -> bytes:
+    """Nodes as the place of their chunk in a list of the few chunks, and their number."""
+    chunks, at = np.unique(nodes >> 32, return_inverse=True)
+    low = nodes & 0xFFFFFFFF
+    wide = [max(1, (int(x).bit_length() + 7) // 8) for x in (max(0, len(chunks) - 1), low.max(initial=0))]
+    parts = [v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].tobytes() for v, k in zip((at, low), wide)]
+    return bytes(wide) + len(chunks).to_bytes(8, "little") + len(nodes).to_bytes(8, "little") + chunks.astype("<i8").tobytes() + b"".join(parts)
 
-def _candidates(key: tuple, t: pa.Table, answers: pa.Table) -> pa.Table:
-    h, lines, _ = _nodes(t)
-    known, _ = sb._known(answers)
-    keys = _keys(lines)
-    hit = (sb._member(keys.reshape(-1), known) >= 0).reshape(keys.shape)
-    row, band = np.nonzero(hit)
-    return pa.table({"band": pa.array(keys[row, band].view(np.int64)), "h": pa.array(h[row])})
-
-
-def _ship_text(key: tuple, t: pa.Table, pairs: pa.Table) -> pa.Table:
-    """(chunk of b, a, b, text of a) for the pairs whose a is here."""
-    h, lines, _ = _nodes(t)
-    at = np.searchsorted(h, np.asarray(pairs.column("a")).astype(np.int64))
-    return pa.table({"chunk": pairs.column("to"), "a": pairs.column("a"), "b": pairs.column("b"), "line": pa.array([lines[i] for i in at.tolist()], pa.string())})
-
-
-def _verify(threshold: float):
-    def run(key: tuple, t: pa.Table, pairs: pa.Table) -> pa.Table:
-        h, lines, _ = _nodes(t)
-        at = np.searchsorted(h, np.asarray(pairs.column("b")).astype(np.int64))
-        kept, sets = [], {}
-        for k, (i, other) in enumerate(zip(at.tolist(), pairs.column("line").to_pylist())):
-            own = sets.get(i)
-            if own is None:
-                if len(sets) > 2000:
-                    sets.clear()
-                own = sets[i] = shingles(lines[i])
-            if jaccard(own, shingles(other)) >= threshold:
-                kept.append(k)
-        return pairs.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+def _get_nodes(blob: bytes) -> np.ndarray:
+    k, n = (int.from_bytes(blob[i : i + 8], "little") for i in (2, 10))
+    chunks, at, out = np.frombuffer(blob, "<i8", k, 18), 18 + 8 * k, []
+    for width in blob[:2]:
+        full = np.zeros((n, 8), np.uint8)
+        full[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
+        out.append(full.reshape(-1).view("<u8").astype(np.int64))
+        at += n * width
+    return (chunks[out[0]] << 32) + out[1]
+
+
+_BLOBS = "bucket int, keys binary, nodes binary, marks binary"
+
+
+def _send_bands(n_buckets: int):
+    """For each bucket of keys: a partition's keys, whether several of its nodes have
+    one, and the node that has it alone. Nodes of a key that is repeated within the
+    partition are known to share it; they go to buckets below zero, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, keys = [], []
+        for b in batches:
+            keys.append(_keys(b.column(1).to_pylist()).reshape(-1) >> U(64 - KEY))
+            nodes.append(np.repeat(np.asarray(b.column(0)).astype(np.int64), BANDS))
+        if not nodes:
+            return
+        key, node = np.concatenate(keys), np.concatenate(nodes)
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        rows: list[tuple] = []
+        for b, part in sb._split(key[first] << U(64 - KEY), n_buckets):
+            rows.append((b, sb.pack(key[first][part]), _put_nodes(node[first][part]), np.packbits(n[part] > 1).tobytes()))
+        known = np.repeat(n > 1, n)
+        for i, lo in enumerate(range(0, int(known.sum()), PIECE)):
+            bucket = -1 - int(key[known][lo] % U(1 << 30)) - i
+            rows.append((bucket, sb.pack(key[known][lo : lo + PIECE]), _put_nodes(node[known][lo : lo + PIECE]), b""))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "keys", "nodes", "marks"])
 
     return run
 
 
-def _first(key: tuple, t: pa.Table, parts: pa.Table) -> pa.Table:
-    """(root, doc_id, rid, number) of each node; root is null for a node alone."""
-    h, _, places = _nodes(t)
-    node = np.asarray(parts.column("node")).astype(np.int64) if parts.num_rows else np.zeros(0, np.int64)
-    root = np.asarray(parts.column("root")).astype(np.int64) if parts.num_rows else node
-    order = np.argsort(node)
-    at = sb._member(h, node[order])
-    cols = list(zip(*places)) if places else [[], [], []]
-    return pa.table(
-        {
-            "root": pa.array(root[order][at] if len(node) else np.zeros(len(h), np.int64), mask=at < 0),
-            "doc_id": pa.array(cols[0], pa.int64()),
-            "rid": pa.array(cols[1], pa.int64()),
-            "number": pa.array(cols[2], pa.int32()),
-        }
-    )
+def _shared(key: tuple, t: pa.Table) -> pa.Table:
+    """(band, node) of the nodes that share a band."""
+    keys = [sb.unpack(b) for b in t.column("keys").to_pylist()]
+    node = np.concatenate([_get_nodes(b) for b in t.column("nodes").to_pylist()])
+    every = np.concatenate(keys)
+    keep = np.ones(len(every), bool)
+    if key[0].as_py() >= 0:
+        marks = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for m, k in zip(t.column("marks").to_pylist(), keys)])
+        uniq, at, n = np.unique(every, return_inverse=True, return_counts=True)
+        many = n > 1
+        many[at[marks]] = True
+        keep = many[at] & ~marks
+    return pa.table({"band": pa.array(every[keep].view(np.int64)), "node": pa.array(node[keep])})
+
+
+def similar(own: set[str], line: str, threshold: float) -> bool:
+    """Whether the Jaccard similarity of a shingle set and a line's is at least the
+    threshold. A line is given up early if a part of its shingles already has too many
+    that are not in the set."""
+    places = max(1, len(line) - SHINGLE + 1)
+    spare = (places - threshold * len(own)) / (1 + threshold) + 1e-9
+    if spare < 0:
+        return False
+    step = max(1, places // SAMPLED)
+    seen = {line[i : i + SHINGLE] for i in range(0, places, step)}
+    return len(seen - own) <= spare and jaccard(own, shingles(line)) >= threshold
+
+
+def _similar(threshold: float):
+    """The rows (a, b, x, y) whose lines x and y are similar; they come sorted by a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, set()
+        for batch in batches:
+            good = []
+            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if a != last:
+                    last, own = a, shingles(x)
+                good.append(similar(own, y, threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 def _group_pairs(bands: DataFrame) -> DataFrame:
-    """(a, b) of the nodes that are compared first. Groups are walked in an order
-    of their own; those of over ``SALTED`` nodes in parts that share their ends."""
+    """(a, b) of the nodes that are compared first. Groups are walked in one order
+    of the nodes, so that neighbours stay the same from band to band; those of over ``SALTED`` nodes in parts, whose heads are joined."""
     sizes = materialize(bands.groupBy("band").agg(F.count("*").alias("n")), "bands")
     sized = lookup(bands, sizes, ["band"], "n", "inner")
-    salt = F.pmod(F.xxhash64("h", "band"), F.ceil(F.col("n") / SALTED)).cast("long")
-    sized = sized.withColumn("salt", salt).withColumn("place", F.xxhash64("band", "h"))
-    walk = Window.partitionBy("band", "salt").orderBy("place", "h")
-    steps = CROWD - 1
-    ahead = sized.select("h", "n", *[F.lead("h", j).over(walk).alias(f"g{j}") for j in range(1, steps + 1)])
-    near = F.array(*[F.when((F.col("n") <= CROWD) | (F.lit(j) <= RING), F.col(f"g{j}")) for j in range(1, steps + 1)])
-    beside = ahead.select("h", F.explode(near).alias("g")).filter("g is not null")
-    ends = sized.filter(F.col("n") > SALTED).groupBy("band", "salt").agg(F.min("h").alias("h"))
-    joined = Window.partitionBy("band").orderBy("salt")
-    chain = ends.withColumn("g", F.lead("h").over(joined)).select("h", "g").filter("g is not null")
+    salt = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / SALTED)).cast("long")
+    sized = sized.withColumn("salt", salt).withColumn("place", F.xxhash64("node"))
+    walk = Window.partitionBy("band", "salt").orderBy("place", "node")
+    ahead = sized.select("node", "n", *[F.lead("node", j).over(walk).alias(f"g{j}") for j in range(1, CROWD)])
+    near = F.array(*[F.when((F.col("n") <= CROWD) | (F.lit(j) <= RING), F.col(f"g{j}")) for j in range(1, CROWD)])
+    beside = ahead.select("node", F.explode(near).alias("g")).filter("g is not null")
+    heads = sized.filter(F.col("n") > SALTED).groupBy("band", "salt").agg(F.min("node").alias("node"))
+    chain = heads.withColumn("g", F.lead("node").over(Window.partitionBy("band").orderBy("salt"))).select("node", "g").filter("g is not null")
     both = beside.unionByName(chain)
-    return both.select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b")).distinct()
+    return both.select(F.least("node", "g").alias("a"), F.greatest("node", "g").alias("b")).distinct()
 
 
 class Lines:
-    """The distinct lines of documents, exchanged once."""
+    """The distinct lines of documents, written once, and what is asked of them."""
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD):
         n = partitions(docs.sparkSession)
-        self.n_chunks, self.n_buckets, self.threshold = sb.CHUNKS * n, sb.BUCKETS * n, threshold
-        text = F.col("text").cast("string")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-        self.lines = self.docs.select("doc_id", "rid", "text").mapInArrow(_lines(self.n_chunks), _LINES).repartition(n, "chunk")
-
-    def _chunk(self, h: str):
-        return F.pmod(F.shiftrightunsigned(h, 20), F.lit(self.n_chunks)).cast("int")
-
-    def _with(self, other: DataFrame, run, schema: str) -> DataFrame:
-        return self.lines.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(run, schema)
+        self.n_buckets, self.threshold = n, threshold
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+        lines = self.docs.select("doc_id", "rid", "text").mapInArrow(_lines(CHUNKS * n), _LINES)
+        self.nodes = materialize(lines.groupBy("chunk").applyInArrow(_make_nodes, _NODES), "lines")
 
     def bands(self) -> DataFrame:
-        """(band, h) of the nodes that share a band with another."""
-        sent = self.lines.groupBy("chunk").applyInArrow(_send_bands(self.n_buckets), "bucket int, chunk int, hashes binary, marks binary, ids binary")
-        told = sent.groupBy("bucket").applyInArrow(sb._repeated, "chunk int, hashes binary, ids binary")
-        return self._with(told, _candidates, "band long, h long")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of (a, b) that are similar."""
-        routed = pairs.select(self._chunk("a").alias("chunk"), self._chunk("b").alias("to"), "a", "b")
-        shipped = self._with(routed, _ship_text, "chunk int, a long, b long, line string")
-        return self._with(shipped, _verify(self.threshold), "a long, b long")
+        """(band, node) of the lines that share a band with another."""
+        sent = self.nodes.select("node", "line").mapInArrow(_send_bands(self.n_buckets), _BLOBS)
+        return sent.groupBy("bucket").applyInArrow(_shared, "band long, node long")
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """(node, line) of the lines in ``pairs``; no others are moved."""
+        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(wanted, "line-wanted")
+        small = wanted.count() <= 1_000_000  # 8 MB of numbers
+        return materialize(self.nodes.select("node", "line").join(F.broadcast(wanted) if small else wanted, "node", "left_semi"), "line-texts")
+
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar."""
+        one = pairs.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+        both = one.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
+        return both.select("a", "b", "x", "y").mapInArrow(_similar(self.threshold), "a long, b long")
 
     def parts(self) -> DataFrame:
         """(node, root) of the lines that have similar ones."""
         bands = materialize(self.bands(), "line-bands")
-        edges = materialize(self.verified(_group_pairs(bands)), "line-edges")
+        pairs = materialize(_group_pairs(bands), "line-pairs")
+        texts = self.texts(pairs)  # every node of a band has a neighbour, so these are all that can be asked for
+        edges = materialize(self.verified(pairs, texts), "line-edges")
         found = materialize(components(edges), "line-parts")
         big = materialize(bands.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD), "line-big")
-        if not big.count():
-            return found
-        # what is still apart in a large group: compare across components, by their nodes
-        rooted = lookup(bands, big, ["band"], "n", "inner").join(found.withColumnRenamed("node", "h"), "h", "left")
-        rooted = rooted.select("band", "n", "h", F.coalesce("root", "h").alias("root"))
-        mixed = materialize(rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band"), "line-mixed")
+        # what is still apart in a larger group: compare across components
+        rooted = lookup(bands, big, ["band"], "n", "inner").join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        rooted = materialize(rooted, "line-rooted")
+        mixed = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
+        mixed = materialize(mixed.select("band", "n"), "line-mixed")
         if not mixed.count():
             return found
-        rows = materialize(rooted.join(mixed, "band", "left_semi").select("band", "h", "root"), "line-rooted")
-        a, b = rows.alias("x"), rows.alias("y")
-        cross = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")))
-        pairs = cross.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
-        more = materialize(self.verified(pairs), "line-edges")
-        return materialize(components(edges.unionByName(more)), "line-parts")
+        rows = materialize(lookup(rooted, mixed, ["band"], "n", "inner").select("band", "node", "root"), "line-apart")
+        x, y = rows.alias("x"), rows.alias("y")
+        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")))
+        more = self.verified(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), texts)
+        return materialize(components(edges.unionByName(materialize(more, "line-edges"))), "line-parts")
 
     def kept(self) -> DataFrame:
         """(doc_id, rid, kept): the numbers of the lines that stay, for documents with any."""
-        parts = self.parts().withColumn("chunk", self._chunk("node"))
-        firsts = self._with(parts, _first, "root long, doc_id long, rid long, number int")
-        packed = F.struct("doc_id", "rid", "number")
-        firsts = materialize(firsts, "line-firsts")
-        one = firsts.filter("root is not null").groupBy("root").agg(F.min(packed).alias("p")).select("p.*")
-        alone = firsts.filter("root is null").drop("root")
+        parts = self.parts()
+        small = parts.count() <= 500_000  # 8 MB of pairs
+        firsts = self.nodes.select("node", "doc_id", "rid", "number").join(F.broadcast(parts) if small else parts, "node", "left")
+        alone = firsts.filter("root is null").select("doc_id", "rid", "number")
+        one = firsts.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "rid", "number")).alias("p")).select("p.*")
         return alone.unionByName(one).groupBy("doc_id", "rid").agg(F.array_sort(F.collect_list("number")).alias("kept"))
 
 
@@ -306,7 +387,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, kept_lines (numbers from 0)."""
     lines = Lines(docs, threshold)
     kept = lines.kept()
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.rlike(x, F.lit("(?U)\\S")))).cast("long")
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.rlike(x, F.lit("[^ \\t-\\r]")))).cast("long")
     key = F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id")
     counted = lines.docs.select(key, "rid", n.alias("n_lines"))
     joined = counted.join(kept, ["doc_id", "rid"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
@@ -324,5 +405,5 @@ def remove_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ident, text = F.col("_row")["doc_id"].cast("long"), F.col("_row")["text"].cast("string")
     same = (F.coalesce(ident, F.lit(_LAST)) == F.col("_id")) & (F.xxhash64(ident, text) == F.col("_rid"))
     joined = rows.join(kept, same, "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.rlike(x, F.lit("(?U)\\S")) | F.array_contains("_kept", i))
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.rlike(x, F.lit("[^ \\t-\\r]")) | F.array_contains("_kept", i))
     return joined.select(*[(F.array_join(left, "\n") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns])
