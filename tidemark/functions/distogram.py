@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from tidemark.ship import ship
 
 CAPACITY = 50
+#: Values that a task collects before it adds them to its sketches (8 bytes each).
+HELD = 1 << 20
 
 
 class Distogram:
@@ -215,15 +217,25 @@ def sketch(df: DataFrame, column: str, by: list[str] | None = None, capacity: in
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame | pa.RecordBatch]:
         state: dict[tuple, Distogram] = {}
-        for b in batches:
+
+        def take(held: list[pa.RecordBatch]) -> None:
+            t = pa.Table.from_batches(held)
             if not by:
-                state.setdefault((), Distogram(capacity)).load_many(np.asarray(b.column(0)))
-                continue
-            pdf = b.to_pandas()
-            for key, own in pdf.groupby(by, dropna=False, sort=False)["_x"]:
+                state.setdefault((), Distogram(capacity)).load_many(np.asarray(t.column(0)))
+                return
+            for key, own in t.to_pandas().groupby(by, dropna=False, sort=False)["_x"]:
                 state.setdefault(tuple(None if pd.isna(k) else k for k in key), Distogram(capacity)).load_many(own.to_numpy())
+
+        held, n, schema = [], 0, None
+        for b in batches:
+            held, n, schema = [*held, b], n + b.num_rows, b.schema
+            if n >= HELD:
+                take(held)
+                held, n = [], 0
+        if held:
+            take(held)
         if state:
-            cols = [pa.array([k[i] for k in state], b.schema.field(i).type) for i in range(len(by))]
+            cols = [pa.array([k[i] for k in state], schema.field(i).type) for i in range(len(by))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([h.dumps() for h in state.values()], pa.string())], [*by, "dump"])
 
     return merge_sketches(rows.mapInArrow(partial, out).select(*by, F.from_json("dump", _JSON).alias("sketch")), by, capacity)
