@@ -152,6 +152,17 @@ def test_span_of_an_escaped_secret_is_exact():
     assert i == 2 + lo * 8 // 6 and j == 2 + -(-hi * 8 // 6)
 
 
+def test_each_place_of_a_repeated_layer_has_its_spans():
+    nested = base64.b64encode(B64.encode()).decode()
+    for run in (B64, nested, base64.b64encode(gzip.compress(SECRET.encode())).decode()):
+        text = f"a {run} b {run} c {run}"
+        places = [m.start() for m in re.finditer(re.escape(run), text)]
+        spans = [x for x in secretscan.all_spans(text) if x[0] == "assign"]
+        assert len(places) == 3 and all(any(at <= i < j <= at + len(run) for _, i, j in spans) for at in places)
+    loop = "a " + SECRET + " " + base64.b64encode(gzip.compress(f"{SECRET} {B64}".encode())).decode()
+    assert len({(i, j) for _, i, j in secretscan.all_spans(loop)}) == 2
+
+
 def test_harmless_texts_have_no_spans():
     for text in ("", "%", "%%% 100%", "\\u12 \\x", "averyveryverylongwordwithoutanything", "AKIA123", "token: abc", base64.b64encode(b"nothing to see here, really").decode()):
         assert secretscan.all_spans(text) == []

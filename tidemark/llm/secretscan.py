@@ -7,8 +7,9 @@ Base layer: three patterns, leftmost and without overlap for each kind:
 Worklist: each layer of a text is searched for layers inside it: percent escapes,
 Unicode escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, &#N;), base64 runs of 16 or
 more characters (both alphabets) and, in escaped or base64 bytes, zlib, gzip,
-bzip2, xz or zstd data. A decoded layer joins the worklist unless its content was
-there before, so cycles end, and the list runs until nothing new is found. Every
+bzip2, xz or zstd data. A decoded layer joins the worklist unless the same content
+was decoded from the same place before, so each place of a repeated run counts and
+cycles end, and the list runs until nothing new is found. Every
 layer is scanned like the text; a finding is mapped to the characters of the text
 that it was decoded from, for compressed data to the whole run.
 
@@ -216,16 +217,16 @@ def all_spans(s: str) -> list[tuple[str, int, int]]:
     """Secrets of ``s`` and of every layer inside it, sorted by start, kind, end."""
     found = set(base_spans(s))
     work: list[Layer] = [(s, range(len(s)), range(1, len(s) + 1))]
-    seen = {s}
+    seen = {(s, 0, len(s))}
     while work:
         layer = work.pop()
         inner = [_substituted(layer, _PERCENT, _percent)] if "%" in layer[0] else []
         inner += [_substituted(layer, _UNICODE, _unicode)] if "\\" in layer[0] or "&#" in layer[0] else []
         inner += _base64_layers(layer)
         for new in inner:
-            if new is None or not new[0] or new[0] in seen:
+            if new is None or not new[0] or (key := (new[0], new[1][0], new[2][-1])) in seen:
                 continue
-            seen.add(new[0])
+            seen.add(key)
             found.update((k, min(new[1][i:j]), max(new[2][i:j])) for k, i, j in base_spans(new[0]))
             work.append(new)
     return order(found)
