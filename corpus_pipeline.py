@@ -2,15 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that it
 keeps, with their columns; the last returns the mixed corpus, each document once
-for every copy taken and numbered in ``copy``. Stages handle empty tables, null
-ids and texts as their operators state.
+for every copy taken and numbered in ``copy``. Stages handle empty tables and null
+texts as their operators state; rows are dropped one by one, whatever their ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, exactdedup, mixing, quality, simhash
+from tidemark.llm import mixing, quality, rowdrop
 from tidemark.llm.scratch import materialize
 
 
@@ -19,15 +19,15 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exactdedup.exact_dedup(docs)
+    return rowdrop.exact_dedup(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return rowdrop.drop_near_duplicates(docs)
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rowdrop.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

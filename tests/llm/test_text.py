@@ -275,5 +275,26 @@ def test_pipeline(spark, tmp_path):
     assert rows_of(p.run(spark, d)) == sorted((tuple(r) for r in seen["mixing"]), key=repr)
 
 
+def test_stages_decide_for_each_row(spark, tmp_path):
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    spark.createDataFrame(ITEMS[:1], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad, long = prose(10) + " " + ITEMS[0][1], prose(300)
+    own = [prose(40) for _ in range(4)]
+
+    def left(stage, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stages[stage](spark, docs(spark, rows), str(tmp_path)).collect()), key=repr)
+
+    rows = [(None, own[0], "a"), (None, own[0], "b"), (None, own[1], "a"), (7, own[1], "a"), (5, own[1], "a"), (5, own[2], "a"), (5, own[2], "a"), (None, None, "a"), (None, "", "a")]
+    got = left("exact_dedup", rows)
+    assert sorted(t or "" for _, t in got) == sorted([own[0], own[1], own[2], ""]) and (5, own[1]) in got and (5, own[2]) in got
+    rows = [(None, long, "a"), (None, long + " end", "a"), (9, long, "a"), (9, own[3], "a"), (2, own[0], "a")]
+    assert left("simhash_near_dedup", rows) == sorted([(9, long), (9, own[3]), (2, own[0])], key=repr)
+    rows = [(None, bad, "a"), (None, own[0], "a"), (3, bad, "a"), (3, own[1], "a")]
+    assert left("decontamination", rows) == sorted([(None, own[0]), (3, own[1])], key=repr)
+    assert all(left(s, []) == [] for s in ("exact_dedup", "simhash_near_dedup", "decontamination"))
+
+
 def simhash_drops(spark, rows, schema):
     return simhash.near_duplicates(spark.createDataFrame(rows, schema)).filter("doc_id <> component_id").collect()
