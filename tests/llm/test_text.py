@@ -163,6 +163,14 @@ def test_each_place_of_a_repeated_layer_has_its_spans():
     assert len({(i, j) for _, i, j in secretscan.all_spans(loop)}) == 2
 
 
+@pytest.mark.parametrize("data", [b"\xff" + SECRET.encode(), SECRET.encode() + b"\x80\x81", ("\u00a0\u200b" + SECRET).encode(), b"\x1b[0m\f" + SECRET.encode() + b"\0", SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), gzip.compress(SECRET.encode("utf-16"))])
+def test_a_layer_of_any_bytes_is_scanned(data):
+    for front in ("", "config-", "a/b_c"):
+        text = "é " + front + base64.b64encode(data).decode() + " end"
+        spans = [x for x in secretscan.all_spans(text) if x[0] == "assign"]
+        assert spans and all(2 <= i < j <= len(text) - 4 for _, i, j in spans)
+
+
 def test_harmless_texts_have_no_spans():
     for text in ("", "%", "%%% 100%", "\\u12 \\x", "averyveryverylongwordwithoutanything", "AKIA123", "token: abc", base64.b64encode(b"nothing to see here, really").decode()):
         assert secretscan.all_spans(text) == []

@@ -7,7 +7,8 @@ Base layer: three patterns, leftmost and without overlap for each kind:
 Worklist: each layer of a text is searched for layers inside it: percent escapes,
 Unicode escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, &#N;), base64 runs of 16 or
 more characters (both alphabets) and, in escaped or base64 bytes, zlib, gzip,
-bzip2, xz or zstd data. A decoded layer joins the worklist unless the same content
+bzip2, xz or zstd data. Base64 is read at each of its four shifts, and what it holds
+is scanned whatever its bytes are, UTF-16 and UTF-32 too. A decoded layer joins the worklist unless the same content
 was decoded from the same place before, so each place of a repeated run counts and
 cycles end, and the list runs until nothing new is found. Every
 layer is scanned like the text; a finding is mapped to the characters of the text
@@ -25,13 +26,13 @@ rows without an id are scanned one by one; other columns are unread.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -50,7 +51,8 @@ _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_PIECE = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
+_PIECE = re.compile(r"[+/_-](?=[A-Za-z0-9])")
+_WIDE = re.compile(rb"(?:[^\0]\0{1,3}){8}")
 
 
 def _only(chars: bytes) -> bytes:
@@ -69,6 +71,12 @@ def base_spans(s: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _packed(head: bytes) -> bool:
+    """Whether data that begins like this may be compressed."""
+    zipped = head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0
+    return zipped or head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd"))
+
+
 def _unpacked(data: bytes) -> bytes | None:
     """What compressed ``data`` holds; None if it is nothing of the kind."""
     try:
@@ -173,44 +181,47 @@ def _unicode(s: str):
     return (chr(code), [(0, len(s))]) if code < 0x110000 else None
 
 
+def _texts(data: bytes) -> Iterator[tuple[str, range | list[int]]]:
+    """``data`` as text and the offset of each character, one more for the end; where
+    NULs alternate (UTF-16, UTF-32) also without them. Any byte may occur."""
+    if not any(suspicious(data.replace(b"\0", b""))):
+        return
+    if data.isascii():
+        yield data.decode("ascii"), range(len(data) + 1)
+    else:
+        text = data.decode("utf-8", "surrogateescape")
+        width = [1 if c < "\x80" or "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text]
+        yield re.sub("[\udc80-\udcff]", "\ufffd", text), [0, *accumulate(width)]
+    if _WIDE.search(data):
+        kept = [i for i, c in enumerate(data) if c]
+        yield data.replace(b"\0", b"").decode("latin-1"), [*kept, len(data)]
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     s, starts, ends = layer
     for m in _BASE64.finditer(s):
-        got = _base64(m.group())
-        tries = [(m.start(), m.group(), got)]
-        if got is None:  # a path or a name in front may have shifted the groups of four
-            tries = [(m.start() + p.start(), p.group(), _base64(p.group())) for p in _PIECE.finditer(m.group()) if p.group() != m.group()]
-        for at, run, got in tries:
-            if got is None:
-                continue
-            text, exact = got
-            if exact:
-                at_byte, a, b = 0, [], []
-                for c in text:
-                    n = len(c.encode())
-                    a.append(starts[at + at_byte * 8 // 6])
-                    b.append(ends[at + min(len(run), -(-(at_byte + n) * 8 // 6)) - 1])
-                    at_byte += n
-            else:
-                a, b = [starts[at]] * len(text), [ends[at + len(run) - 1]] * len(text)
-            yield text, a, b
+        yield from _run_layers(m.group(), range(m.start(), m.end()), {0}, starts, ends)
 
 
-def _base64(run: str) -> tuple[str, bool] | None:
-    """Text of a base64 run, and whether it maps byte by byte (not if decompressed)."""
+def _run_layers(run: str, at: range | list[int], begins: set[int], starts, ends) -> Iterator[Layer]:
+    """Layers of a base64 run, whose characters stand at ``at``. Compressed data may
+    begin at ``begins`` or behind a path or a name, which may also have shifted the
+    groups of four: so texts are read at each shift."""
     bare = run.rstrip("=")
-    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
-    try:
-        data = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    if (flat := _inflated(data)) is not None:
-        return flat.decode("utf-8", "replace"), False
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return (text, True) if all(c.isprintable() or c in "\t\r\n" for c in text) else None
+    for i in sorted(begins | {p.end() for p in _PIECE.finditer(bare)}):
+        if _packed(_decoded(bare[i : i + 12])) and (flat := _inflated(_decoded(bare[i:]))) is not None:
+            for text, _ in _texts(flat):
+                yield text, [starts[at[i]]] * len(text), [ends[at[-1]]] * len(text)
+    for i in range(4):
+        for text, offsets in _texts(_decoded(bare[i:])):
+            a = [starts[at[i + k * 8 // 6]] for k in offsets[: len(text)]]
+            b = [ends[at[min(len(run), i - (-k * 8 // 6)) - 1]] for k in offsets[1:]]
+            yield text, a, b
+
+
+def _decoded(bare: str) -> bytes:
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)].replace("-", "+").replace("_", "/")
+    return base64.b64decode(bare + "=" * (-len(bare) % 4))
 
 
 def all_spans(s: str) -> list[tuple[str, int, int]]:
