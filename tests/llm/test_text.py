@@ -171,6 +171,18 @@ def test_a_layer_of_any_bytes_is_scanned(data):
         assert spans and all(2 <= i < j <= len(text) - 4 for _, i, j in spans)
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  \t"])
+def test_wrapped_base64_is_one_layer(end):
+    noise = "".join(R.choice("klmnopqrstuvw") for _ in range(400))
+    for data in (b"a" * 45 + SECRET.encode(), gzip.compress(f"{noise} {SECRET}".encode()), zlib.compress(f"{noise} {SECRET}".encode())):
+        run = base64.b64encode(data).decode()
+        wrapped = end.join(run[i : i + 76] for i in range(0, len(run), 76))
+        for front in ("é ", "averyverylongheadingline" + end):
+            text = front + wrapped + "\n\nmore words"
+            spans = [x for x in secretscan.all_spans(text) if x[0] == "assign"]
+            assert spans and all(len(front) <= i < j <= len(front) + len(wrapped) for _, i, j in spans)
+
+
 def test_harmless_texts_have_no_spans():
     for text in ("", "%", "%%% 100%", "\\u12 \\x", "averyveryverylongwordwithoutanything", "AKIA123", "token: abc", base64.b64encode(b"nothing to see here, really").decode()):
         assert secretscan.all_spans(text) == []

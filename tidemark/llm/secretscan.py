@@ -7,8 +7,8 @@ Base layer: three patterns, leftmost and without overlap for each kind:
 Worklist: each layer of a text is searched for layers inside it: percent escapes,
 Unicode escapes (\\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, &#N;), base64 runs of 16 or
 more characters (both alphabets) and, in escaped or base64 bytes, zlib, gzip,
-bzip2, xz or zstd data. Base64 is read at each of its four shifts, and what it holds
-is scanned whatever its bytes are, UTF-16 and UTF-32 too. A decoded layer joins the worklist unless the same content
+bzip2, xz or zstd data. Base64 may be wrapped and is read at each of its four shifts;
+what it holds is scanned whatever its bytes are, UTF-16 and UTF-32 too. A decoded layer joins the worklist unless the same content
 was decoded from the same place before, so each place of a repeated run counts and
 cycles end, and the list runs until nothing new is found. Every
 layer is scanned like the text; a finding is mapped to the characters of the text
@@ -32,7 +32,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import zstandard
@@ -50,7 +50,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK = re.compile(r"\r?\n[\t\x20]*")
 _PIECE = re.compile(r"[+/_-](?=[A-Za-z0-9])")
 _WIDE = re.compile(rb"(?:[^\0]\0{1,3}){8}")
 
@@ -200,7 +201,15 @@ def _texts(data: bytes) -> Iterator[tuple[str, range | list[int]]]:
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     s, starts, ends = layer
     for m in _BASE64.finditer(s):
-        yield from _run_layers(m.group(), range(m.start(), m.end()), {0}, starts, ends)
+        run, at, begins = m.group(), range(m.start(), m.end()), {0}
+        if "\n" in run:
+            lines, last = [], 0
+            for x in [*_BREAK.finditer(run), None]:
+                lines.append(at[last : x.start() if x else len(run)])
+                last = x.end() if x else last
+            run, at = _BREAK.sub("", run), list(chain.from_iterable(lines))
+            begins |= set(accumulate(map(len, lines[:-1])))
+        yield from _run_layers(run, at, begins, starts, ends)
 
 
 def _run_layers(run: str, at: range | list[int], begins: set[int], starts, ends) -> Iterator[Layer]:
