@@ -183,6 +183,27 @@ def test_wrapped_base64_is_one_layer(end):
             assert spans and all(len(front) <= i < j <= len(front) + len(wrapped) for _, i, j in spans)
 
 
+def test_members_and_streams_of_any_size(monkeypatch):
+    import bz2
+    import lzma
+
+    import zstandard
+
+    z = zstandard.ZstdCompressor().compressobj()
+    stream = z.compress(SECRET.encode()) + z.flush()
+    assert zstandard.frame_content_size(stream) < 0
+    packed = [stream, gzip.compress(SECRET.encode())[:-4]]
+    packed += [f(b"nothing here") + f(SECRET.encode()) for f in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress)]
+    big = b"some, words\n" * 400_000
+    packed += [f(big + SECRET.encode() + b", " + big) for f in (gzip.compress, bz2.compress, zstandard.ZstdCompressor().compress)]
+    packed += [gzip.compress(gzip.compress(big + B64.encode())), gzip.compress(b"a" * 3_000_000 + b" " + SECRET.encode())]
+    monkeypatch.setattr(secretscan, "LAYER_MAX", 2 << 20)
+    for data in packed:
+        for run in (base64.b64encode(data).decode(), "".join(f"%{b:02x}" for b in data)):
+            spans = secretscan.all_spans(f"é {run} end")
+            assert any(k == "assign" and 2 <= i < j <= 2 + len(run) for k, i, j in spans), data[:10]
+
+
 def test_harmless_texts_have_no_spans():
     for text in ("", "%", "%%% 100%", "\\u12 \\x", "averyveryverylongwordwithoutanything", "AKIA123", "token: abc", base64.b64encode(b"nothing to see here, really").decode()):
         assert secretscan.all_spans(text) == []

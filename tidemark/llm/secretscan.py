@@ -15,9 +15,14 @@ layer is scanned like the text; a finding is mapped to the characters of the tex
 that it was decoded from, for compressed data to the whole run.
 
 Documents without any trace of a secret or an encoding are passed over by byte
-searches before a pattern is tried. A layer that would decompress to over
-``LAYER_MAX`` bytes is left alone, so that a decompression bomb can't take down a
-worker; that is the only limit, and texts themselves have none.
+searches before a pattern is tried. Compressed data is read as a stream over all of
+its members, also if it is cut off, and scanned in parts that end where no pattern
+can match across, so a layer of any size is scanned in bounded memory. Two limits
+remain, which keep a decompression bomb from taking down a worker: where ``LAYER_MAX``
+bytes have no such place, the part is cut there with ``OVERLAP`` bytes read twice (a
+compressed run inside them that is cut is read to the cut only); and escaped
+compressed data of over ``LAYER_MAX`` bytes is a layer of its own instead of standing
+in the text around it.
 
 Defined cases: a null text is empty; an empty text has no spans; repeated rows and
 rows without an id are scanned one by one; other columns are unread.
@@ -32,7 +37,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, islice, tee
 
 import pyarrow as pa
 import zstandard
@@ -43,7 +48,7 @@ from tidemark.llm import text as tx
 from tidemark.llm.scratch import partitions
 
 KINDS = ("assign", "access", "hex")
-LAYER_MAX = 64 << 20
+LAYER_MAX, CHUNK, OVERLAP = 64 << 20, 1 << 20, 1 << 20
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -52,7 +57,7 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\x[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\t\x20]*[A-Za-z0-9+/_-]+)*={0,2}")
 _BREAK = re.compile(r"\r?\n[\t\x20]*")
-_PIECE = re.compile(r"[+/_-](?=[A-Za-z0-9])")
+_PIECE = re.compile(r"(?<=[+/_-])(?=[A-Za-z0-9])|(?=H4sI|Qlpo|[/_]Td6|KLUv)")
 _WIDE = re.compile(rb"(?:[^\0]\0{1,3}){8}")
 
 
@@ -60,6 +65,8 @@ def _only(chars: bytes) -> bytes:
     return bytes(120 if b in chars else 46 for b in range(256))
 
 
+#: Bytes that are in no pattern, nor between two lines of base64, nor NULs of UTF-16.
+_APART = bytes(46 if b in b"\0\t\n\r \"#%&'+-./:;=\\_{}" or chr(b).isascii() and chr(b).isalnum() else 120 for b in range(256))
 _HEX_RUN = _only(b"0123456789abcdef")
 _BASE64_RUN = _only(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
@@ -78,41 +85,117 @@ def _packed(head: bytes) -> bool:
     return zipped or head.startswith((b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd"))
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What compressed ``data`` holds; None if it is nothing of the kind."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, LAYER_MAX)
-            return None if d.unconsumed_tail or not d.eof else out
-        if data[:3] == b"BZh":
-            b = bz2.BZ2Decompressor()
-            out = b.decompress(data, LAYER_MAX)
-            return out if b.eof else None
-        if data[:6] == b"\xfd7zXZ\x00":
-            x = lzma.LZMADecompressor()
-            out = x.decompress(data, LAYER_MAX)
-            return out if x.eof else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data) if _zstd_fits(data) else None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        return None
-    return None
+def _opened(head: bytes):
+    """A decompressor, which gives at most so many bytes a call, for data that begins
+    with ``head``."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:1] == b"\xfd" else _Zstd()
+
+
+class _Zstd:
+    """One frame, taken in small pieces."""
+
+    def __init__(self):
+        self._d, self.unconsumed_tail = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj(), b""
 
+    eof = property(lambda self: self._d.eof)
+    unused_data = property(lambda self: self._d.unused_data + (bytes(self.unconsumed_tail) if self._d.eof else b""))
 
-def _zstd_fits(data: bytes) -> bool:
-    size = zstandard.frame_content_size(data)
-    return 0 <= size <= LAYER_MAX
+    def decompress(self, data: bytes, _: int) -> bytes:
+        # a block of 128 kB takes 4 bytes at least
+        view = memoryview(data)
+        self.unconsumed_tail = view[64:]
+        return self._d.decompress(view[:64])
+
+
+def _members(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the compressed members in ``chunks`` hold, also of a last one that is cut
+    off or damaged, in pieces of about CHUNK bytes."""
+    out, data, d = bytearray(), b"", None
+    try:
+        while True:
+            if d is None:
+                while len(data) < 16 and (more := next(chunks, b"")):
+                    data += more
+                if not _packed(data):
+                    break
+                d = _opened(data)
+            got = d.decompress(data, CHUNK)
+            out += got
+            if len(out) >= CHUNK:
+                yield bytes(out)
+                out.clear()
+            if d.eof:
+                data, d = d.unused_data, None
+            elif (left := getattr(d, "unconsumed_tail", b"")) or len(got) == CHUNK or not getattr(d, "needs_input", True):
+                data = left
+            elif not (data := next(chunks, b"")):
+                break
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        pass
+    if out:
+        yield bytes(out)
+
+
+def _flat(data: bytes) -> Iterator[bytes]:
+    """``data`` without all of its compressions, in pieces; nothing if it has none. A
+    piece that was the beginning of a layer before ends the chain."""
+    rest = (data[i : i + CHUNK] for i in range(0, len(data), CHUNK))
+    head = next(rest, b"")
+    seen = {head}
+    while _packed(head):
+        kept, source = tee(chain([head], rest))
+        inner = _members(source)
+        if not (first := next(inner, b"")) or first in seen:
+            rest = islice(kept, 1, None)
+            break
+        del kept
+        seen.add(first)
+        head, rest = first, inner
+    return chain([head], rest) if len(seen) > 1 else iter(())
+
+
+def _parts(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The chunks, cut anew where no pattern can match across. A run without such a
+    place is cut at LAYER_MAX bytes and its last OVERLAP bytes are read twice."""
+    held = bytearray()
+    for c in chunks:
+        held += c
+        if len(held) < 2 * CHUNK:
+            continue
+        if cut := held.translate(_APART).rfind(b"x") + 1:
+            yield bytes(held[:cut])
+            del held[:cut]
+        elif len(held) >= LAYER_MAX:
+            yield bytes(held)
+            del held[: len(held) - OVERLAP]
+    if held:
+        yield bytes(held)
+
+
+def _ends(data: bytes) -> bool:
+    d = zlib.decompressobj()
+    try:
+        d.decompress(data, LAYER_MAX)
+    except zlib.error:
+        return False
+    return d.eof
 
 
 def _inflated(data: bytes) -> bytes | None:
-    """``data`` without all of its compressions; None if it has none. An output
-    that was there before ends the chain."""
-    seen, out = {data}, None
-    while (more := _unpacked(data)) is not None and more not in seen:
-        seen.add(more)
-        out = data = more
-    return out
+    """``data`` without all of its compressions; None if it has none, if the outcome is
+    over LAYER_MAX bytes, or if it may be a text that happens to begin like zlib."""
+    out = bytearray()
+    if data[:1] == b"\x78" and not _ends(data):
+        return None
+    for c in _flat(data):
+        out += c
+        if len(out) > LAYER_MAX:
+            return None
+    return bytes(out) or None
 
 
 Layer = tuple[str, list[int] | range, list[int] | range]
@@ -198,6 +281,22 @@ def _texts(data: bytes) -> Iterator[tuple[str, range | list[int]]]:
         yield data.replace(b"\0", b"").decode("latin-1"), [*kept, len(data)]
 
 
+def _whole(data: bytes, start: int, end: int) -> Iterator[Layer]:
+    """Layers of compressed data, part by part, mapped to the whole run."""
+    for part in _parts(_flat(data)):
+        for text, _ in _texts(part):
+            yield text, [start] * len(text), [end] * len(text)
+
+
+def _escaped_layers(layer: Layer) -> Iterator[Layer]:
+    """Compressed data in escaped bytes, which may be too large to stand in the text."""
+    s, starts, ends = layer
+    for pattern, escape in ((_PERCENT, "%"), (_UNICODE, "\\x")):
+        for m in pattern.finditer(s) if escape in s else ():
+            if m.group().startswith(escape) and _packed(data := bytes.fromhex(m.group().replace(escape, ""))):
+                yield from _whole(data, starts[m.start()], ends[m.end() - 1])
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     s, starts, ends = layer
     for m in _BASE64.finditer(s):
@@ -214,13 +313,12 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
 
 def _run_layers(run: str, at: range | list[int], begins: set[int], starts, ends) -> Iterator[Layer]:
     """Layers of a base64 run, whose characters stand at ``at``. Compressed data may
-    begin at ``begins`` or behind a path or a name, which may also have shifted the
+    begin at ``begins``, with the letters of its format or behind a path or a name, which may also have shifted the
     groups of four: so texts are read at each shift."""
     bare = run.rstrip("=")
-    for i in sorted(begins | {p.end() for p in _PIECE.finditer(bare)}):
-        if _packed(_decoded(bare[i : i + 12])) and (flat := _inflated(_decoded(bare[i:]))) is not None:
-            for text, _ in _texts(flat):
-                yield text, [starts[at[i]]] * len(text), [ends[at[-1]]] * len(text)
+    for i in sorted(begins | {p.start() for p in _PIECE.finditer(bare)}):
+        if _packed(_decoded(bare[i : i + 12])):
+            yield from _whole(_decoded(bare[i:]), starts[at[i]], ends[at[-1]])
     for i in range(4):
         for text, offsets in _texts(_decoded(bare[i:])):
             a = [starts[at[i + k * 8 // 6]] for k in offsets[: len(text)]]
@@ -233,22 +331,31 @@ def _decoded(bare: str) -> bytes:
     return base64.b64decode(bare + "=" * (-len(bare) % 4))
 
 
+def _inner(layer: Layer) -> Iterator[Layer]:
+    if "%" in layer[0] and (new := _substituted(layer, _PERCENT, _percent)):
+        yield new
+    if ("\\" in layer[0] or "&#" in layer[0]) and (new := _substituted(layer, _UNICODE, _unicode)):
+        yield new
+    yield from _escaped_layers(layer)
+    yield from _base64_layers(layer)
+
+
+def _content(s: str) -> str | bytes:
+    return s if len(s) < 64 else hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
+
+
 def all_spans(s: str) -> list[tuple[str, int, int]]:
     """Secrets of ``s`` and of every layer inside it, sorted by start, kind, end."""
     found = set(base_spans(s))
-    work: list[Layer] = [(s, range(len(s)), range(1, len(s) + 1))]
-    seen = {(s, 0, len(s))}
+    work = [_inner((s, range(len(s)), range(1, len(s) + 1)))]  # depth first: of a large layer one part is held
+    seen = {(_content(s), 0, len(s))}
     while work:
-        layer = work.pop()
-        inner = [_substituted(layer, _PERCENT, _percent)] if "%" in layer[0] else []
-        inner += [_substituted(layer, _UNICODE, _unicode)] if "\\" in layer[0] or "&#" in layer[0] else []
-        inner += _base64_layers(layer)
-        for new in inner:
-            if new is None or not new[0] or (key := (new[0], new[1][0], new[2][-1])) in seen:
-                continue
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+        elif new[0] and (key := (_content(new[0]), new[1][0], new[2][-1])) not in seen:
             seen.add(key)
             found.update((k, min(new[1][i:j]), max(new[2][i:j])) for k, i, j in base_spans(new[0]))
-            work.append(new)
+            work.append(_inner(new))
     return order(found)
 
 
