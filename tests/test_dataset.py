@@ -197,3 +197,13 @@ def test_sinks():
     queue = []
     assert Events(QueueSink("example.org", lambda u, b: queue.append(u))).send("a", "w", "c", "t", "n") and queue == ["https://example.org/event"]
     assert view_executed(1500, 100) == {"execution_time_ms": 1500, "row_count": 100}
+
+
+def test_commits_hold_rows_of_any_value(spark, catalog):
+    from tidemark.plans.fixtures import commits
+
+    df = spark.createDataFrame([(1, "F"), (2, "O"), (3, None), (4, "X")], "id bigint, status string")
+    ds = commits(catalog, "sales.all", df, F.col("status"), ("F", "O"))
+    assert sorted(r["id"] for r in ds.scan().collect()) == [1, 2, 3, 4]
+    listed = commits(catalog, "sales.listed", df.filter("id < 3"), F.col("status"), ("F", "O"))
+    assert listed.scan().count() == 2 and len(ds.snapshots()) == len(listed.snapshots()) + 1

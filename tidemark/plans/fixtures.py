@@ -49,10 +49,14 @@ def new_catalog(spark: SparkSession, workspace: str = "ws") -> Catalog:
 
 
 def commits(catalog: Catalog, name: str, df: DataFrame, column, values, properties: dict | None = None, sort_orders=None) -> Dataset:
-    """A dataset with one file and one commit for each value of an expression."""
+    """A dataset with one file and one commit for each value of an expression, and
+    one more for the rows of null or any other value if there are any."""
     ds = catalog.create_dataset(name, df.schema, properties, author="loader", sort_orders=sort_orders)
     for v in values:
         ds.append(df.filter(column == F.lit(v)).coalesce(1), "loader")
+    rest = df.filter(column.isNull() | ~column.isin(*values))
+    if not rest.isEmpty():
+        ds.append(rest.coalesce(1), "loader")
     return ds
 
 
