@@ -228,3 +228,41 @@ def test_signature_estimates_the_similarity():
     true = ld.jaccard(ld.shingles(a), ld.shingles(b))
     assert abs(float((s[0] == s[1]).mean()) - true) < 0.15
     assert Counter((s == ld._EMPTY).reshape(-1).tolist())[True] == 0
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh é", "漢字かな交じり文\U0001f600", "".join(map(chr, range(0x4E00, 0x4E00 + 9000)))])
+def test_lines_are_compared_exactly(letters):
+    rng = random.Random(3)
+    lines = []
+    for _ in range(120):
+        x = "".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 30, 120])))
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            y[rng.randrange(len(y))] = rng.choice(letters)
+        lines += [x, "".join(y), x + "\0", x + rng.choice(letters)]
+    a, b = (np.array([rng.randrange(len(lines)) for _ in range(3000)] + list(more)) for more in (range(len(lines) - 1), range(1, len(lines))))
+    want = [ld.jaccard(ld.shingles(lines[i]), ld.shingles(lines[j])) >= 0.8 for i, j in zip(a, b)]
+    assert any(want) and ld.alike(lines, a, b, 0.8).tolist() == want
+
+
+def test_lines_of_one_hash_are_compared():
+    places = [np.array(p, np.int64) for p in ([3, 1, 2, 0], [0, 0, 0, 0], [0, 0, 0, 0])]
+    blob = ld._put(np.array([7, 7, 7, 9], np.uint64), places, [b"one", b"two", b"one", b"two"])
+    import pyarrow as pa
+
+    got = ld._make_nodes((pa.scalar(0),), pa.table({"lines": pa.array([blob], pa.binary())}))
+    assert sorted(zip(got["line"].to_pylist(), got["doc_id"].to_pylist())) == [("one", 2), ("two", 0), ("two", 1)]
+
+
+@pytest.mark.parametrize("length", [22, 60, 260, 640])
+def test_lines_at_the_threshold_share_a_band(length):
+    """Pairs of a similarity of 0.8 are found."""
+    rng = random.Random(length)
+    changed = (length - 4) // 9
+    pairs = []
+    for _ in range(250):
+        x = "".join(rng.choice("abcdefghijklmnop ") for _ in range(length))
+        pairs += [x, x[: length - changed] + "".join(rng.choice("ABCDEFGH") for _ in range(changed))]
+    assert 0.8 <= ld.jaccard(ld.shingles(pairs[0]), ld.shingles(pairs[1])) <= 0.84
+    keys = ld.band_keys(ld.signatures(pairs)).reshape(250, 2, -1)
+    assert (keys[:, 0] == keys[:, 1]).any(axis=1).mean() >= 0.98

@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash.
 
-1. The lines of all documents, normalised, meet by their 64-bit hash: equal lines
-   become one node, written once with its first occurrence.
+1. The lines of all documents, normalised, meet by a hash and are compared: equal
+   lines become one node, written once with its first occurrence.
 2. A node's character shingles give a one-permutation MinHash signature of
    ``BANDS`` x ``ROWS`` bins; an empty bin borrows from one at
    random, the same for all lines. Lines of a Jaccard similarity of ``THRESHOLD`` share a band with a
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -43,13 +44,13 @@ from tidemark.llm.scratch import materialize, partitions
 U = np.uint64
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 24, 7, 0.8
 CROWD, RING, SALTED = 4, 2, 100_000
-#: Shingles of a line that are looked at first.
-SAMPLED = 64
+#: Characters of the lines that are compared at once.
+SPAN = 1 << 18
 #: Bits of a band key that are kept: keys that agree in them cost a comparison. Entries
 #: of a blob. Chunks for each partition of a shuffle.
 KEY, PIECE, CHUNKS = 48, 1 << 18, 2
 _LAST = 2**63 - 1
-_STEP = np.array([pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(SHINGLE)], dtype=np.uint64)
+_STEP = U(0x9E3779B97F4A7C15)
 _EMPTY = U(2**64 - 1)
 
 
@@ -77,29 +78,47 @@ def _probes(n: int) -> list[np.ndarray]:
 _PROBES = _probes(BANDS * ROWS)
 
 
-def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line) of each shingle of each line."""
-    size = np.array([max(len(x), SHINGLE) for x in lines], np.int64)
-    points = np.frombuffer("".join(x.ljust(SHINGLE, "\0") for x in lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    k = len(points) - SHINGLE + 1
-    h = np.zeros(k, np.uint64)
-    for i in range(SHINGLE):
-        h += points[i : i + k] * _STEP[i]
-    h = (h ^ h >> U(32)) * U(0xD6E8FEB86659FD93)
-    h ^= h >> U(32)
-    h *= U(0xC4CEB9FE1A85EC53)
-    owner = np.repeat(np.arange(len(lines)), size)
-    inside = owner[:k] == owner[SHINGLE - 1 :]
-    return h[inside], owner[:k][inside]
+def _points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points plus one of all lines, each filled up with zeros to a shingle, and
+    how many places each line has."""
+    long = np.array([len(x) for x in lines], np.int64)
+    size = np.maximum(long, SHINGLE)
+    points = np.frombuffer("".join(x.ljust(SHINGLE) for x in lines).encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
+    short = np.flatnonzero(long < SHINGLE)
+    if len(short):
+        place = (np.cumsum(size) - size)[short, None] + np.arange(SHINGLE)
+        points[place[np.arange(SHINGLE) >= long[short, None]]] = 0
+    return points, size
+
+
+def _astride(size: np.ndarray) -> np.ndarray:
+    """The places at which a shingle would reach into the next line."""
+    return (np.cumsum(size)[:, None] - np.arange(1, SHINGLE)).reshape(-1)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash signatures, one row of BANDS * ROWS bins a line."""
     n, bins = len(lines), BANDS * ROWS
-    h, owner = grams(lines)
-    at = owner * bins + ((h >> U(40)) * U(bins) >> U(24)).astype(np.int64)
+    points, size = _points(lines)
+    wide = points.astype(np.uint64)
+    k = len(wide) - SHINGLE + 1
+    h = wide[:k].copy()
+    for i in range(1, SHINGLE):
+        h *= _STEP
+        h += wide[i : i + k]
+    np.bitwise_xor(h, h >> U(32), out=h)
+    h *= U(0xD6E8FEB86659FD93)
+    np.bitwise_xor(h, h >> U(32), out=h)
+    h *= U(0xC4CEB9FE1A85EC53)
+    at = h >> U(40)
+    at *= U(bins)
+    at >>= U(24)
+    at += np.repeat(np.arange(0, n * bins, bins, dtype=np.uint64), size)[:k]
+    h &= U(2**40 - 1)
+    astride = _astride(size)
+    h[astride[astride < k]] = _EMPTY
     out = np.full(n * bins, _EMPTY)
-    np.minimum.at(out, at, h & U(2**40 - 1))
+    np.minimum.at(out, at.view(np.int64), h)
     out = out.reshape(n, bins)
     row, bin_ = np.nonzero(out == _EMPTY)
     full = out.copy()
@@ -143,21 +162,21 @@ def _lines(n_chunks: int):
         for b in (part for whole in batches for part in _slices(whole)):
             ids, rids = b.column(0).to_pylist(), b.column(1).to_pylist()
             raw, offsets = tx.buffers(b.column(2))
-            first: dict[int, tuple] = {}
+            first: dict[bytes, tuple] = {}
             for i in range(len(ids)):
                 doc = _LAST if ids[i] is None else ids[i]
                 for number, line in normal_lines(raw[offsets[i] : offsets[i + 1]].tobytes()):
-                    h = xxhash.xxh3_64_intdigest(line)
-                    old = first.get(h)
-                    if old is None or (doc, rids[i], number) < old[1:]:
-                        first[h] = (line, doc, rids[i], number)
+                    old = first.get(line)
+                    if old is None or (doc, rids[i], number) < old:
+                        first[line] = (doc, rids[i], number)
             if first:
-                h = np.fromiter(first, np.uint64, len(first))
+                texts = list(first)
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
                 chunk = ((h >> U(20)) % U(n_chunks)).astype(np.int64)
                 order = np.argsort(chunk, kind="stable")
                 values = list(first.values())
-                lines = [values[i][0] for i in order.tolist()]
-                places = [np.array([values[i][k] for i in order.tolist()], np.int64) for k in (1, 2, 3)]
+                lines = [texts[i] for i in order.tolist()]
+                places = [np.array([values[i][k] for i in order.tolist()], np.int64) for k in range(3)]
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(h)]]).tolist()
                 parts = [_put(h[order][i:j], [p[i:j] for p in places], lines[i:j]) for i, j in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(chunk[order][cuts[:-1]], pa.int32()), pa.array(parts, pa.binary())], ["chunk", "lines"])
@@ -197,7 +216,15 @@ def _make_nodes(key: tuple, t: pa.Table) -> pa.Table:
     texts = [x for f in found for x in f[1]]
     h, doc, rid, number, _ = numbers
     order = np.lexsort((number, rid, doc, h))
-    keep = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    run, head = -1, set()
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    for i in np.flatnonzero(~new).tolist():  # of one hash: the same line, unless hashes collide
+        if begin[i] != run:
+            run, head = begin[i], {texts[order[begin[i]]]}
+        new[i] = texts[order[i]] not in head
+        head.add(texts[order[i]])
+    keep = order[new]
     lines = [texts[i].decode("utf-8", "replace") for i in keep.tolist()]
     return pa.table(
         {
@@ -278,31 +305,102 @@ def _shared(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"band": pa.array(every[keep].view(np.int64)), "node": pa.array(node[keep])})
 
 
-def similar(own: set[str], line: str, threshold: float) -> bool:
-    """Whether the Jaccard similarity of a shingle set and a line's is at least the
-    threshold. A line is given up early if a part of its shingles already has too many
-    that are not in the set."""
-    places = max(1, len(line) - SHINGLE + 1)
-    spare = (places - threshold * len(own)) / (1 + threshold) + 1e-9
-    if spare < 0:
-        return False
-    step = max(1, places // SAMPLED)
-    seen = {line[i : i + SHINGLE] for i in range(0, places, step)}
-    return len(seen - own) <= spare and jaccard(own, shingles(line)) >= threshold
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """(line, code) of every shingle of every line. The codes are equal exactly where
+    the shingles are; None if the lines have over 2**12 different characters."""
+    points, size = _points(lines)
+    if points.max() >= 1 << 12:
+        known = np.zeros(0x110001, bool)
+        known[points] = True
+        if np.count_nonzero(known) > 1 << 12:
+            return None
+        points = (np.cumsum(known, dtype=np.uint32) - np.uint32(1))[points]
+    wide = points.astype(np.uint64)
+    k = len(wide) - SHINGLE + 1
+    code = wide[:k].copy()
+    for i in range(1, SHINGLE):
+        code <<= U(12)
+        code |= wide[i : i + k]
+    inside = np.ones(len(wide), bool)
+    inside[_astride(size)] = False
+    return np.repeat(np.arange(len(lines)), size)[inside], code[inside[:k]]
+
+
+def _distinct(owner: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """Sorted places of one of each (owner, code). All rows of a pair meet in one slot
+    of a table; who holds it settles its equals, the others try another table."""
+    size = 2 * np.bincount(owner, minlength=n).astype(np.uint64) + U(1)
+    begin = np.cumsum(size) - size
+    table = np.empty(int(size.sum()), np.int32)
+    keep = np.zeros(len(code), bool)
+    todo, mult = np.arange(len(code), dtype=np.int32), 0x9E3779B97F4A7C15
+    while len(todo):
+        mine, own = code[todo], owner[todo]
+        slot = mine * U(mult)
+        slot ^= slot >> U(32)
+        slot *= U(0xD6E8FEB86659FD93)
+        slot >>= U(32)
+        slot *= size[own]
+        slot >>= U(32)
+        slot += begin[own]
+        slot = slot.view(np.int64)
+        table[slot] = todo
+        won = table[slot]
+        keep[won] = True
+        todo = todo[code[won] != mine]
+        mult = mult * 0xFF51AFD7ED558CCD % 2**64
+    return np.flatnonzero(keep)
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ..., n[0] of them, then the same of the next."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def alike(lines: list[str], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the shingle sets of lines ``a`` and ``b`` (places in ``lines``) have a
+    Jaccard similarity of at least the threshold; exact, a sum over sets of codes."""
+    coded = _codes(lines)
+    if coded is None:
+        sets = [shingles(x) for x in lines]
+        return np.array([jaccard(sets[i], sets[j]) >= threshold for i, j in zip(a.tolist(), b.tolist())], bool)
+    one = _distinct(*coded, len(lines))
+    owner, code = coded[0][one], coded[1][one]
+    n = np.bincount(owner, minlength=len(lines))
+    begin = np.cumsum(n) - n
+    out = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])  # no more can be shared
+    a, b = a[out], b[out]
+    if not len(a):
+        return out
+    pair = np.concatenate([np.repeat(np.arange(len(a)), n[a]), np.repeat(np.arange(len(a)), n[b])])
+    both = code[np.concatenate([_runs(begin[a], n[a]), _runs(begin[b], n[b])])]
+    union = np.bincount(pair[_distinct(pair, both, len(a))], minlength=len(a))
+    out[out] = (n[a] + n[b] - union) / union >= threshold
+    return out
 
 
 def _similar(threshold: float):
     """The rows (a, b, x, y) whose lines x and y are similar; they come sorted by a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
         for batch in batches:
-            good = []
-            for a, x, y in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                if a != last:
-                    last, own = a, shingles(x)
-                good.append(similar(own, y, threshold))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            ids = np.asarray(batch.column(0)).astype(np.int64)
+            fresh = np.concatenate([[True], ids[1:] != ids[:-1]])  # the first pair of a line
+            x, y = batch.column(2), batch.column(3).to_pylist()
+            heads = np.flatnonzero(fresh)
+            own = x.take(pa.array(heads)).to_pylist()
+            head = np.cumsum(fresh) - 1
+            cost = np.cumsum([len(t) for t in y]) + np.cumsum(np.where(fresh, pc.utf8_length(x), 0))
+            good, lo = [], 0
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + SPAN, "right")))
+                first = head[lo]
+                lines = own[first : head[hi - 1] + 1]
+                good.append(alike(lines + y[lo:hi], head[lo:hi] - first, len(lines) + np.arange(hi - lo), threshold))
+                lo = hi
+            if good:
+                yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(good)))
 
     return run
 
@@ -370,7 +468,8 @@ class Lines:
         rows = materialize(lookup(rooted, mixed, ["band"], "n", "inner").select("band", "node", "root"), "line-apart")
         x, y = rows.alias("x"), rows.alias("y")
         cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")))
-        more = self.verified(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), texts)
+        cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        more = self.verified(cross.join(pairs, ["a", "b"], "left_anti"), texts)  # those weren't similar
         return materialize(components(edges.unionByName(materialize(more, "line-edges"))), "line-parts")
 
     def kept(self) -> DataFrame:
