@@ -114,7 +114,7 @@ class Windows:
                 serial += 1
         self.ids, self.item = ids, np.array(item, np.int64)
         self.size = np.array([len(w) for w in found], np.int64)
-        self.terms = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        self.terms = tx.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         self.places = np.full((len(found), window), -1, np.int64)
         if found:
             inside = np.arange(window) < self.size[:, None]

@@ -26,7 +26,7 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 def distinct(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, place) pairs, sorted."""
-    both = np.unique(doc.astype(np.int64) << BITS | place.astype(np.int64))
+    both = tx.unique(doc.astype(np.int64) << BITS | place.astype(np.int64))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 

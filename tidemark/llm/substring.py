@@ -150,7 +150,7 @@ def _distinct(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def _level_one(window: int, n_buckets: int):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         c = Chunk(t, window)
-        at = np.unique(c.anchors())
+        at = tx.unique(c.anchors())
         at = at[at >= 0]
         h = c.windows(-(-window // 2))[0][at]
         h, several, _ = _distinct(h, c.ids[c.doc[at]])
@@ -201,7 +201,7 @@ def _level_two(window: int, n_buckets: int):
         at = c.anchors()
         good = np.flatnonzero(at >= 0)
         h = c.windows(-(-window // 2))[0]
-        used = np.unique(at[good])
+        used = tx.unique(at[good])
         hit = np.zeros(len(h) + 1, bool)
         hit[used] = _member(h[used], known) >= 0
         good = good[hit[at[good]]]

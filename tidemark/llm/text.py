@@ -40,6 +40,14 @@ ALNUM = _tables(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80, T
 _codes = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a sort, which beats the hash table of ``np.unique``."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash; a bijection."""
     h = h ^ (h >> U(33))
