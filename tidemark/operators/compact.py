@@ -83,7 +83,7 @@ class Compactor:
 
     def plan(self, entries: DataFrame | None = None) -> Plan | None:
         """The next change, or None if the layout is fine."""
-        rows = _sized(self.dataset.manifest() if entries is None else entries)
+        rows = _sized(self.dataset.manifest(schema=self.dataset.schema()) if entries is None else entries)
         return self._performance(rows) if self.strategy == "performance" else self._brute(rows)
 
     def _split(self, rows: DataFrame) -> Plan | None:
@@ -139,7 +139,7 @@ class Compactor:
         plan.outputs = self._parts(plan)
         if dry_run:
             return plan
-        df = mf.read_files(self.dataset.spark, self.dataset.schema(), plan.files)
+        df = self.dataset.read(plan.files)
         if plan.sort_column:
             df = df.repartitionByRange(plan.outputs, plan.sort_column).sortWithinPartitions(plan.sort_column)
         else:
@@ -157,7 +157,7 @@ class Compactor:
     def stats(self, entries: DataFrame | None = None) -> DataFrame:
         """One row: files, bytes and files of each size class."""
         p, size = self.policy, F.col("size")
-        rows = _sized(self.dataset.manifest() if entries is None else entries)
+        rows = _sized(self.dataset.manifest(schema=self.dataset.schema()) if entries is None else entries)
         return rows.agg(
             F.count("*").cast("long").alias("file_count"),
             F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"),

@@ -6,6 +6,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from tidemark.operators.describe import describe
 from tidemark.operators.prune import prune
 
 RETRIES = 20
+#: Parts of a manifest; a commit that would have more puts them together.
+PARTS = 64
 _SIZES = {"data-files": "files", "files-size": "size", "data-size": "data", "records": "records"}
 
 
@@ -36,6 +39,8 @@ class Snapshot:
     user_created: bool = True
     summary: dict[str, int] = field(default_factory=dict)
     agent: dict[str, str] = field(default_factory=dict)
+    #: Files of the manifest, the last of them ``manifest``.
+    parts: list[str] = field(default_factory=list)
 
 
 LOG = T.StructType(
@@ -157,17 +162,26 @@ class Dataset:
             return None
         return s
 
-    def manifest(self, snapshot_id: int | None = None) -> DataFrame:
-        """Manifest entries of a snapshot."""
+    def _known(self) -> dict[str, T.StructType]:
+        """All schemas by id; none if there never was another."""
+        docs = self.schema_versions()
+        return {d["schema-id"]: T.StructType.fromJson(d["struct"]) for d in docs} if len(docs) > 1 else {}
+
+    def entries(self, s: Snapshot | None, schema: T.StructType | None = None, filled: bool = False) -> DataFrame:
+        """Manifest entries of a snapshot; with a schema, statistics are in its order."""
+        raw = mf.read_manifest(self.spark, *(s.parts or [s.manifest])) if s and s.manifest else mf.read_manifest(self.spark)
+        return raw if schema is None else mf.aligned(raw, schema, self._known(), filled)
+
+    def manifest(self, snapshot_id: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+        """Manifest entries of a snapshot, in the order of its columns or of ``schema``."""
         s = self._resolve(snapshot_id)
-        return mf.read_manifest(self.spark, s.manifest if s else None)
+        return self.entries(s, schema or self._schema_of(s))
 
     def scan_files(self, row_filter: Column | str | None = None, snapshot_id: int | None = None, as_of_timestamp: int | None = None) -> DataFrame:
         """Manifest entries of the files that a scan would read; absent numbers and
         lists are 0 and empty."""
         s = self._resolve(snapshot_id, as_of_timestamp)
-        entries = mf.read_manifest(self.spark, s.manifest if s else None)
-        kept = prune(entries, self._schema_of(s), row_filter)
+        kept = prune(self.entries(s, self._schema_of(s)), self._schema_of(s), row_filter)
         return kept.select(
             *[
                 F.coalesce(F.col(f.name), F.lit(0) if isinstance(f.dataType, (T.LongType, T.IntegerType)) else F.array().cast(f.dataType)).alias(f.name)
@@ -192,30 +206,33 @@ class Dataset:
         the columns reach the Parquet reader. The files are fixed when it is called."""
         s = self._resolve(snapshot_id, as_of_timestamp)
         schema = self._schema_of(s)
-        entries = prune(mf.read_manifest(self.spark, s.manifest if s else None), schema, row_filter)
-        df = mf.read_files(self.spark, schema, [r[0] for r in entries.select("file_path").collect()])
+        entries = prune(self.entries(s, schema), schema, row_filter)
+        df = mf.read_entries(self.spark, schema, entries, self._known())
         if row_filter is not None:
             df = df.filter(row_filter)
         if columns is not None:
             df = df.select(*columns)
         return df if row_limit is None else df.limit(row_limit)
 
+    def read(self, files: list[str]) -> DataFrame:
+        """Rows of some files of the current snapshot, in the current schema."""
+        wanted = self.spark.createDataFrame([(f,) for f in files], "file_path string")
+        return mf.read_entries(self.spark, self.schema(), self.entries(self.snapshot()).join(wanted, "file_path", "left_semi"), self._known())
+
     def scan_all_versions(self) -> DataFrame:
-        """Rows of every file that any snapshot has, each file once."""
-        paths = None
-        for s in self.snapshots():
-            if s.manifest:
-                entries = mf.read_manifest(self.spark, s.manifest).select("file_path")
-                paths = entries if paths is None else paths.unionByName(entries)
-        found = [r[0] for r in paths.dropDuplicates(["file_path"]).collect()] if paths is not None else []
-        return mf.read_files(self.spark, self.schema(), found)
+        """Rows of every file that any snapshot has, each file once, in the current
+        schema: a column that a file was written without is null."""
+        parts = dict.fromkeys(p for s in self.snapshots() if s.manifest for p in s.parts or [s.manifest])
+        entries = mf.read_manifest(self.spark, *parts).dropDuplicates(["file_path"])
+        return mf.read_entries(self.spark, self.schema(), entries, self._known())
 
     def describe(self, snapshot_id: int | None = None, bins: int = 10) -> DataFrame:
         """One row a column, from the manifest alone; ValueError without one."""
         s = self._resolve(snapshot_id)
         if s is None or not s.manifest:
             raise ValueError(f"{self.identifier} has no manifest to describe")
-        return describe(mf.read_manifest(self.spark, s.manifest), self.schema(), self.identifier, self.doc.get("description"), bins)
+        schema = self._schema_of(s)
+        return describe(self.entries(s, schema, filled=True), schema, self.identifier, self.doc.get("description"), bins)
 
     # --- writing ---
 
@@ -232,30 +249,39 @@ class Dataset:
         """Write data files and return their paths."""
         folder = f"{self.location}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
-        return sorted(self.spark.read.schema(df.schema).parquet(folder).inputFiles())
+        return sorted(map(unquote, self.spark.read.schema(df.schema).parquet(folder).inputFiles()))
+
+    def _statistics(self, paths: list[str]) -> tuple[str, dict[str, int]]:
+        """Measure new files: a part of a manifest and its totals."""
+        sums: dict[str, int] = dict(_NONE)
+        entries = mf.file_statistics(
+            self.spark, paths, self.schema(), self.doc.get("properties", {}).get("sketch-hash", "xxhash64"), self.doc["current-schema-id"], sums
+        )
+        return self._part(entries, len(paths)), sums
+
+    def _part(self, entries: DataFrame, n: int) -> str:
+        path = f"{self.location}/metadata/part-{uuid.uuid4().hex}.parquet"
+        mf.write_manifest(entries, path, n)
+        return path
 
-    def _statistics(self, paths: list[str]) -> DataFrame:
-        """Entries of new files, kept as a file of their own until the commit."""
-        entries = mf.file_statistics(self.spark, paths, self.schema(), self.doc.get("properties", {}).get("sketch-hash", "xxhash64"))
-        path = f"{self.location}/metadata/stats-{uuid.uuid4().hex}.parquet"
-        mf.write_manifest(entries, path, len(paths))
-        return mf.read_manifest(self.spark, path)
+    @staticmethod
+    def _parts(s: Snapshot | None) -> list[str]:
+        return (s.parts or [s.manifest]) if s and s.manifest else []
 
     def _commit(self, operation: str, author: str, message: str | None, build, retry: bool, **more) -> Snapshot:
-        """Make the next snapshot. ``build(previous)`` gives its entries (None: no
-        manifest) and its summary; it runs again if another commit came between."""
+        """Make the next snapshot. ``build(previous)`` gives the parts of its manifest
+        (None: no manifest) and its summary; it runs again if another commit came
+        between. Parts never change; what a commit adds is one more."""
         for _ in range(RETRIES):
             last = self.snapshot()
-            entries, summary = build(last)
+            parts, summary = build(last)
+            if parts and len(parts) > PARTS:
+                parts = [self._part(mf.read_manifest(self.spark, *parts), summary["total-data-files"])]
             now = self.catalog.clock()
             ident = max(now, last.snapshot_id + 1 if last else 0)
-            path = None
-            if entries is not None:
-                path = f"{self.location}/metadata/manifest-{ident}-{uuid.uuid4().hex[:8]}.parquet"
-                mf.write_manifest(entries, path, summary["total-data-files"])
             s = Snapshot(
-                ident, more.pop("timestamp_ms", None) or ident, author, (last.sequence_number if last else 0) + 1, operation, path,
-                last.snapshot_id if last else None, self.doc["current-schema-id"], message, summary=summary, **more,
+                ident, more.pop("timestamp_ms", None) or ident, author, (last.sequence_number if last else 0) + 1, operation, parts[-1] if parts else None,
+                last.snapshot_id if last else None, self.doc["current-schema-id"], message, summary=summary, parts=parts or [], **more,
             )
             if self.store.create(self._snapshot_path(s.sequence_number), json.dumps(asdict(s))):
                 self.doc = self.catalog._patch_dataset(
@@ -268,26 +294,24 @@ class Dataset:
                 break
         raise CommitConflict(f"{self.identifier}: another writer committed first")
 
-    def _previous(self, last: Snapshot | None) -> tuple[DataFrame, dict[str, int]]:
-        entries = mf.read_manifest(self.spark, last.manifest if last else None)
-        return entries, {k: last.summary[f"total-{n}"] for n, k in _SIZES.items()} if last else dict(_NONE)
+    @staticmethod
+    def _totals(last: Snapshot | None) -> dict[str, int]:
+        return {k: last.summary[f"total-{n}"] for n, k in _SIZES.items()} if last else dict(_NONE)
 
-    def _replace(self, operation: str, author: str, message: str, new: DataFrame) -> Snapshot:
+    def _replace(self, operation: str, author: str, message: str, new: tuple[str, dict[str, int]]) -> Snapshot:
         def build(last):
-            before = self._previous(last)[1]
-            return new, summarize(totals(new), before, before)
+            before = self._totals(last)
+            return [new[0]], summarize(new[1], before, before)
 
         return self._commit(operation, author, message, build, retry=False)
 
     def append(self, df: DataFrame, author: str, commit_message: str | None = None) -> Snapshot:
         """Add rows. Concurrent appends are retried on top of each other."""
         self._check(df, author)
-        new = self._statistics(self._write(df))
-        added = totals(new)
+        new, added = self._statistics(self._write(df))
 
         def build(last):
-            entries, before = self._previous(last)
-            return entries.unionByName(new), summarize(added, _NONE, before)
+            return [*self._parts(last), new], summarize(added, _NONE, self._totals(last))
 
         return self._commit("append", author, commit_message or f"commit by {author}", build, retry=True)
 
@@ -302,24 +326,27 @@ class Dataset:
         return list(dict.fromkeys(self._qualified(f) for f in names if f.lower().endswith(".parquet")))
 
     def _qualified(self, path: str) -> str:
-        """The path as scans report it."""
+        """The path as manifests have it."""
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark._jvm.org.apache.spark.paths.SparkPath.fromPath(p.makeQualified(fs.getUri(), fs.getWorkingDirectory())).urlEncoded()
+        return p.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
 
     def add_files(self, files: list[str], author: str, commit_message: str | None = None) -> Snapshot:
         """Register existing Parquet files that the manifest doesn't have yet."""
         if not author:
             raise ValueError("an author is needed")
         wanted = self.spark.createDataFrame([(f,) for f in self._registered(files)], "file_path string")
-        fresh = [r[0] for r in wanted.join(self.manifest().select("file_path"), "file_path", "left_anti").collect()]
-        new = self._statistics(fresh)
+        base = self.snapshot()
+        fresh = [r[0] for r in wanted.join(self.entries(base).select("file_path"), "file_path", "left_anti").collect()]
+        new, sums = self._statistics(fresh)
 
         def build(last):
-            entries, before = self._previous(last)
-            added = new.join(entries.select("file_path"), "file_path", "left_anti")
-            return entries.unionByName(added), summarize(totals(added), _NONE, before)
+            if (last and last.snapshot_id) == (base and base.snapshot_id):
+                return [*self._parts(last), new], summarize(sums, _NONE, self._totals(last))
+            added = mf.read_manifest(self.spark, new).join(self.entries(last).select("file_path"), "file_path", "left_anti")
+            part = self._part(added, len(fresh))
+            return [*self._parts(last), part], summarize(totals(mf.read_manifest(self.spark, part)), _NONE, self._totals(last))
 
         return self._commit("add-files", author, commit_message or f"add files by {author}", build, retry=True)
 
@@ -336,7 +363,7 @@ class Dataset:
             raise ValueError("an author is needed")
 
         def build(last):
-            before = self._previous(last)[1]
+            before = self._totals(last)
             return None, summarize(_NONE, before, before)
 
         return self._commit("truncate", author, commit_message or f"truncate by {author}", build, retry=False)
@@ -347,17 +374,17 @@ class Dataset:
         last = self.snapshot()
         if last is None or not last.manifest:
             raise ValueError(f"{self.identifier} has no manifest to refresh")
-        old = mf.read_manifest(self.spark, last.manifest)
+        old = self.entries(last)
         paths = [r[0] for r in old.select("file_path").collect()]
         there = [p for p in paths if self.store.exists(p)]
-        new = self._statistics(there)
-        kept = new.unionByName(old.join(new.select("file_path"), "file_path", "left_anti"))
+        new = mf.read_manifest(self.spark, self._statistics(there)[0])
+        part = self._part(new.unionByName(old.join(new.select("file_path"), "file_path", "left_anti")), len(paths))
+        t = totals(mf.read_manifest(self.spark, part))
 
         def build(previous):
             if previous.snapshot_id != last.snapshot_id:
                 raise CommitConflict(f"{self.identifier}: another writer committed first")
-            t = totals(kept)
-            return kept, summarize(_NONE, _NONE, t)
+            return [part], summarize(_NONE, _NONE, t)
 
         s = self._commit(
             "statistics-refresh", author or agent, last.commit_message, build, retry=False, timestamp_ms=last.timestamp_ms, user_created=False,
@@ -367,16 +394,16 @@ class Dataset:
 
     def replace_files(self, old: list[str], df: DataFrame, author: str, message: str, agent: dict[str, str], n_bytes: int) -> Snapshot:
         """Put the rows of ``df`` in place of the files ``old`` (compaction)."""
-        new = self._statistics(self._write(df))
-        gone = self.spark.createDataFrame([(f,) for f in old], "file_path string")
         base = self.snapshot()
+        new, sums = self._statistics(self._write(df))
+        gone = self.spark.createDataFrame([(f,) for f in old], "file_path string")
 
         def build(last):
             if last.snapshot_id != base.snapshot_id:
                 raise CommitConflict(f"{self.identifier}: another writer committed first")
-            entries, before = self._previous(last)
-            dropped = entries.join(F.broadcast(gone), "file_path", "left_semi")
-            kept = entries.join(F.broadcast(gone), "file_path", "left_anti")
-            return kept.unionByName(new), summarize(totals(new), totals(dropped), before)
+            entries, before = self.entries(last), self._totals(last)
+            dropped = totals(entries.join(gone, "file_path", "left_semi"))
+            kept = self._part(entries.join(gone, "file_path", "left_anti"), before["files"])
+            return [kept, new], summarize(sums, dropped, before)
 
         return self._commit("compact", author, message, build, retry=False, user_created=False, agent=agent)

@@ -14,7 +14,7 @@ FIELDS = ["nulls", "low", "high", "bytes", "bins", "hashes", "low_display", "hig
 def verify_manifest(dataset: Dataset, file_path: str | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(file_path, column, field, stored, recomputed) of each statistic that differs
     from a new measurement, of one file or all."""
-    entries = dataset.manifest() if stored is None else stored
+    entries = dataset.manifest(schema=dataset.schema()) if stored is None else stored
     if file_path is not None:
         entries = entries.filter(F.col("file_path") == file_path)
     paths = [r[0] for r in entries.select("file_path").collect()]
@@ -32,17 +32,17 @@ def verify_manifest(dataset: Dataset, file_path: str | None = None, stored: Data
 
 def column_bytes(dataset: Dataset) -> DataFrame:
     """(column, bytes): uncompressed bytes of each column by the manifest."""
-    rows = mf.per_column(dataset.manifest(), dataset.schema().names)
+    rows = mf.per_column(dataset.manifest(schema=dataset.schema()), dataset.schema().names)
     return rows.groupBy("column").agg(F.sum("bytes").cast("long").alias("bytes"))
 
 
 def find_file(dataset: Dataset, file_path: str) -> DataFrame:
     """The entry of a file in the newest manifest that has it."""
     for s in reversed(dataset.snapshots()):
-        found = mf.read_manifest(dataset.spark, s.manifest).filter(F.col("file_path") == file_path)
+        found = dataset.entries(s).filter(F.col("file_path") == file_path)
         if s.manifest and found.limit(1).count():
             return found
-    return mf.read_manifest(dataset.spark, None)
+    return mf.read_manifest(dataset.spark)
 
 
 def entry_json(entries: DataFrame) -> DataFrame:

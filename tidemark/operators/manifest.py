@@ -24,8 +24,8 @@ from tidemark.ship import ship
 BINS = 32
 #: Display values are cut to this many characters when measured and when stored.
 SHOWN, STORED = 16, 32
-#: Files described by one part of a manifest.
-ROWS_A_PART = 20_000
+#: Files described by one part of a manifest, and measured at once.
+ROWS_A_PART, FILES = 20_000, 4096
 
 _U64 = T.DecimalType(20, 0)
 SCHEMA = T.StructType(
@@ -45,6 +45,7 @@ SCHEMA = T.StructType(
         T.StructField("min_values_display", T.ArrayType(T.StringType())),
         T.StructField("max_values_display", T.ArrayType(T.StringType())),
         T.StructField("nan_counts", T.ArrayType(T.LongType())),
+        T.StructField("schema_id", T.StringType()),
     ]
 )
 
@@ -54,6 +55,55 @@ def read_files(spark: SparkSession, schema: T.StructType, paths: list[str]) -> D
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+_ABSENT, _OTHER = -1, -2
+
+
+def _places(old: T.StructType, new: T.StructType) -> list[int]:
+    """Where ``old`` has each column of ``new``: by name, of a kind whose ordinals compare."""
+    at = {f.name: (i, fc.kind(f.dataType)) for i, f in enumerate(old)}
+    return [_ABSENT if f.name not in at else at[f.name][0] if at[f.name][1] == fc.kind(f.dataType) else _OTHER for f in new]
+
+
+def aligned(entries: DataFrame, schema: T.StructType, known: dict[str, T.StructType], filled: bool = False) -> DataFrame:
+    """The entries with the statistics of each column of ``schema`` in its place there.
+    They are found by name in the schema that a file was measured with (``known``, by
+    id). A column that this schema doesn't have, or has with a type of another kind,
+    has no statistics; with ``filled`` one that it doesn't have counts as null."""
+    moved = {i: p for i, s in known.items() if (p := _places(s, schema)) != list(range(len(s)))}
+    if not moved:
+        return entries
+
+    def pick(f: T.StructField) -> Column:
+        if not isinstance(f.dataType, T.ArrayType):
+            return F.col(f.name)
+        none = F.lit(None).cast(f.dataType.elementType)
+        absent = F.col("record_count") if filled and f.name == "null_counts" else none
+        out = F.col(f.name)
+        for ident, places in moved.items():
+            there = [F.get(f.name, F.lit(p)) if p >= 0 else absent if p == _ABSENT else none for p in places]
+            out = F.when(F.col("schema_id") == ident, F.array(*there) if there else F.array().cast(f.dataType)).otherwise(out)
+        return out.alias(f.name)
+
+    return entries.select(*map(pick, SCHEMA))
+
+
+def read_entries(spark: SparkSession, schema: T.StructType, entries: DataFrame, known: dict[str, T.StructType]) -> DataFrame:
+    """The rows of the files of some entries. A column that a file was written without
+    is null; one that it has with another type is cast."""
+    if not known:
+        return read_files(spark, schema, [r[0] for r in entries.select("file_path").collect()])
+    groups: dict[tuple, list[str]] = {}
+    for path, ident in entries.select("file_path", "schema_id").collect():
+        old = {f.name: f.dataType for f in known.get(ident, schema)}
+        groups.setdefault(tuple(T.StructField(f.name, old.get(f.name, f.dataType)) for f in schema), []).append(path)
+    out = None
+    for fields, paths in groups.items():
+        part = read_files(spark, T.StructType(list(fields)), paths)
+        part = part.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if g.dataType != f.dataType else F.col(f"`{f.name}`") for f, g in zip(schema, fields)])
+        out = part if out is None else out.unionByName(part)
+    return read_files(spark, schema, []) if out is None else out
+
+
 def _shown(c: Column, t: T.DataType, fn) -> Column:
     """Aggregate: display value of the least or greatest value of fixed width."""
     if fc.kind(t) in ("string", "binary", "other"):
@@ -161,16 +211,29 @@ def _second_pass(rows: DataFrame, schema: T.StructType, ranges: dict, method: st
     )
 
 
-def file_statistics(spark: SparkSession, paths: list[str], schema: T.StructType, method: str = "xxhash64") -> DataFrame:
-    """A manifest entry for each of ``paths``. A file without rows has no entry."""
-    if not paths:
-        return spark.createDataFrame([], SCHEMA)
+def file_statistics(
+    spark: SparkSession, paths: list[str], schema: T.StructType, method: str = "xxhash64", schema_id: str | None = None, totals: dict[str, int] | None = None
+) -> DataFrame:
+    """A manifest entry for each of ``paths``. A file without rows has no entry.
+    ``totals`` gets the sums over the entries added."""
     ship(spark)
+    out = spark.createDataFrame([], SCHEMA) if not paths else None
+    for lo in range(0, len(paths), FILES):  # bounds what the driver and a task hold
+        part = _measured(spark, paths[lo : lo + FILES], schema, method, schema_id, totals)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _measured(spark: SparkSession, paths: list[str], schema: T.StructType, method: str, schema_id: str | None, totals: dict[str, int] | None) -> DataFrame:
     files = read_files(spark, schema, paths)
     rows = files.select(
-        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(schema)]
+        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("_path"), F.col("_metadata.file_size").alias("_size"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(schema)]
     )
     measured = _first_pass(rows, schema).collect()  # one row a new file
+    if totals is not None:
+        for r in measured:
+            one = {"files": 1, "size": r["size"], "data": sum(r[f"bytes{i}"] for i in range(len(schema))), "records": r["n"]}
+            totals.update({k: totals.get(k, 0) + v for k, v in one.items()})
     ranges = {(r["_path"], i): (r[f"lo{i}"], r[f"hi{i}"]) for r in measured for i in range(len(schema)) if r[f"lo{i}"] is not None}
     n = len(schema)
     each = lambda name, cast: (lambda r: [cast(r[f"{name}{i}"]) for i in range(n)])
@@ -207,6 +270,7 @@ def file_statistics(spark: SparkSession, paths: list[str], schema: T.StructType,
         display("dlo", "lo").alias("min_values_display"),
         display("dhi", "hi").alias("max_values_display"),
         F.col("nans").alias("nan_counts"),
+        F.lit(schema_id).cast("string").alias("schema_id"),
     )
 
 
@@ -217,9 +281,9 @@ def write_manifest(entries: DataFrame, path: str, n_files: int) -> None:
     shaped.repartition(parts).write.option("compression", "zstd").parquet(path)
 
 
-def read_manifest(spark: SparkSession, path: str | None) -> DataFrame:
-    """The entries of a manifest; none if there is no manifest."""
-    return spark.read.schema(SCHEMA).parquet(path) if path else spark.createDataFrame([], SCHEMA)
+def read_manifest(spark: SparkSession, *parts: str) -> DataFrame:
+    """The entries of a manifest of so many parts."""
+    return spark.read.schema(SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], SCHEMA)
 
 
 def per_column(manifest: DataFrame, names: list[str]) -> DataFrame:

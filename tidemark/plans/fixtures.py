@@ -104,6 +104,20 @@ def history(spark: SparkSession, sf_dir: str) -> Dataset:
     return ds
 
 
+@once
+def evolved(spark: SparkSession, sf_dir: str) -> Dataset:
+    """Orders F, then, with a column less, a new one and another order of them, O."""
+    df = table(spark, sf_dir, "orders")
+    c = new_catalog(spark)
+    first = df.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    then = df.select("o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderkey")
+    ds = c.create_dataset("sales.evolved", first.schema, author="loader")
+    ds.append(first.filter("o_orderstatus = 'F'").coalesce(1), "ann")
+    c.set_schema("sales.evolved", then.schema, "ben")
+    ds.refresh().append(then.filter("o_orderstatus = 'O'").coalesce(1), "ann")
+    return ds
+
+
 @once
 def registered(spark: SparkSession, sf_dir: str) -> Dataset:
     """Customers: one segment appended, then the table's file put in its place,

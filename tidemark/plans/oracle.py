@@ -40,6 +40,12 @@ UNION ALL SELECT 'none', 0 UNION ALL SELECT 'null', 0 UNION ALL SELECT 'opaque',
     "scan_files_accessors": """
 SELECT o_orderstatus AS status, 'parquet' AS file_format, count(*) AS record_count, 32 AS histogram_bins, 6 AS sketches, true AS sized, true AS named
 FROM orders GROUP BY o_orderstatus""",
+    "scan_filter_after_schema_change": """
+SELECT o_totalprice, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS o_orderpriority, o_orderkey
+FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000 AND o_orderkey < 8000""",
+    "scan_old_schema": _all("orders", "o_orderstatus = 'F' AND o_custkey < 500", "o_orderkey, o_custkey, o_totalprice, o_orderstatus"),
+    "scan_all_versions_after_schema_change": """
+SELECT o_totalprice, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O')""",
     "scan_multi_snapshot_distinct": "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'F'",
     "overwrite_scan": _all("orders", "o_orderstatus = 'P'"),
     "append_after_truncate_scan": _all("orders", "o_orderstatus = 'F'"),
@@ -91,7 +97,8 @@ SELECT h::VARCHAR AS hash FROM (SELECT DISTINCT ('0x' || substr(md5(o_custkey::V
     "kmv_cardinality": """
 WITH v AS (
   SELECT DISTINCT 'o_orderkey' AS col, o_orderkey::VARCHAR AS x FROM orders UNION ALL SELECT DISTINCT 'o_custkey', o_custkey::VARCHAR FROM orders
-  UNION ALL SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders),
+  UNION ALL SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders
+  UNION ALL SELECT DISTINCT 'o_totalprice', o_totalprice::DECIMAL(38,6)::VARCHAR FROM orders UNION ALL SELECT DISTINCT 'o_orderdate', epoch_us(o_orderdate)::VARCHAR FROM orders),
 h AS (SELECT col, ('0x' || substr(md5(x), 1, 16))::UBIGINT AS h FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY h) AS k FROM h)
 SELECT col AS "column", CASE WHEN count(*) < 32 THEN count(*) ELSE floor(31.0::DOUBLE * 18446744073709551616.0::DOUBLE / (max(h)::DOUBLE + 1.0::DOUBLE)) END::BIGINT AS cardinality,
@@ -121,11 +128,19 @@ SELECT 'sales.orders' AS dataset, unnest(['o_orderkey', 'o_custkey', 'o_ordersta
   unnest([8 * count(*), 8 * count(*), sum(strlen(s)) + 4 * (count(*) + 3), 8 * count(*), 8 * count(*), sum(strlen(p)) + 4 * (count(*) + 3)])::BIGINT AS uncompressed_bytes
 FROM o""",
     "describe_events": """
-WITH e AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)
-SELECT unnest(['event_id', 'value', 'big']) AS "column", count(*) AS row_count,
-  unnest([min(event_id), min(floor(value)::BIGINT), min((value > 50)::BIGINT)])::BIGINT AS min,
-  unnest([max(event_id), max(floor(value)::BIGINT), max((value > 50)::BIGINT)])::BIGINT AS max,
-  unnest([0, count(*) - count(value), count(*) - count(value)])::BIGINT AS null_count FROM e""",
+WITH e AS (
+  SELECT event_id, epoch_us(ts) AS ts, ('0x' || rpad(hex(substr(event_type, 1, 7)), 14, '0'))::BIGINT AS kind, CASE WHEN event_type <> 'error' THEN value END AS value FROM events)
+SELECT unnest(['event_id', 'ts', 'event_type', 'value', 'big']) AS "column", count(*) AS row_count,
+  unnest([min(event_id), min(ts), min(kind), min(floor(value)::BIGINT), min((value > 50)::BIGINT)])::BIGINT AS min,
+  unnest([max(event_id), max(ts), max(kind), max(floor(value)::BIGINT), max((value > 50)::BIGINT)])::BIGINT AS max,
+  unnest([0, 0, 0, count(*) - count(value), count(*) - count(value)])::BIGINT AS null_count FROM e""",
+    "describe_after_schema_change": """
+WITH o AS (
+  SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT AS t, ('0x' || rpad(hex(substr(o_orderstatus, 1, 7)), 14, '0'))::BIGINT AS s,
+    CASE WHEN o_orderstatus = 'O' THEN ('0x' || rpad(hex(substr(o_orderpriority, 1, 7)), 14, '0'))::BIGINT END AS p FROM orders WHERE o_orderstatus IN ('F', 'O'))
+SELECT unnest(['o_totalprice', 'o_orderstatus', 'o_orderpriority', 'o_orderkey']) AS "column", count(*) AS row_count,
+  unnest([min(t), min(s), min(p), min(k)])::BIGINT AS min, unnest([max(t), max(s), max(p), max(k)])::BIGINT AS max,
+  unnest([0, 0, count(*) - count(p), 0])::BIGINT AS null_count FROM o""",
     "describe_text_columns": """
 SELECT 'c_custkey' AS "column", NULL::VARCHAR AS min_display, NULL::VARCHAR AS max_display UNION ALL SELECT 'c_nationkey', NULL, NULL UNION ALL SELECT 'c_acctbal', NULL, NULL
 UNION ALL SELECT 'c_name', substr(min(c_name), 1, 16) || '...', substr(max(c_name), 1, 16) || '...' FROM customer
@@ -163,14 +178,15 @@ def _sketch(select: str) -> str:
 ORACLE_SQL |= {
     "distogram_bins": _sketch("SELECT col, round(v, 6) AS v, f::BIGINT AS f FROM b"),
     "distogram_count": _sketch("SELECT col, total::BIGINT AS n, k::INTEGER AS bins FROM t"),
-    "distogram_bounds": _sketch("SELECT col, round(lo, 6) AS lo, round(hi, 6) AS hi FROM t"),
-    "distogram_mean": _sketch("SELECT col, round(mean, 6) AS mean FROM t"),
-    "distogram_variance": _sketch("SELECT col, round(sum(f * (v - mean) * (v - mean)) / any_value(total), 6) AS variance FROM b JOIN t USING (col) GROUP BY col"),
-    "distogram_stddev": _sketch("SELECT col, round(sqrt(sum(f * (v - mean) * (v - mean)) / any_value(total)), 6) AS stddev FROM b JOIN t USING (col) GROUP BY col"),
+    "distogram_bounds": _sketch("SELECT col, round(lo, 9) AS lo, round(hi, 9) AS hi FROM t"),
+    # means of a third of a unit of the ninth decimal at least away from a tie
+    "distogram_mean": _sketch("SELECT col, round(mean, 9) AS mean FROM t"),
+    "distogram_variance": _sketch("SELECT col, round(sum(f * (v - mean) * (v - mean)) / any_value(total), 9) AS variance FROM b JOIN t USING (col) GROUP BY col"),
+    "distogram_stddev": _sketch("SELECT col, round(sqrt(sum(f * (v - mean) * (v - mean)) / any_value(total)), 9) AS stddev FROM b JOIN t USING (col) GROUP BY col"),
     "distogram_count_up_to": _sketch(
         f"SELECT col, x, round({_UP}, 6) AS n_up_to FROM (SELECT t.*, unnest([0.0, 0.025, 0.055, 0.1, 1.0, 17.5, 33.25, 50.0, 60.0]::DOUBLE[]) AS x FROM t) q"
     ),
-    "distogram_bin_size": _sketch("SELECT col, round(arg_min(f, v), 6) AS size FROM b WHERE v > 0.035 GROUP BY col"),
+    "distogram_bin_size": _sketch("SELECT col, round(arg_min(f, v), 9) AS size FROM b WHERE v > 0.035 GROUP BY col"),
     "distogram_quantile": _sketch(
         """, q AS (SELECT t.*, unnest([0.0, 0.005, 0.25, 0.5, 0.9, 0.999, 1.0, 1.5]::DOUBLE[]) AS q FROM t),
 c AS (SELECT *, floor(total * q) AS c FROM q),
@@ -184,13 +200,13 @@ u AS (SELECT col, i, x, {_UP} AS up FROM q)
 SELECT a.col, a.i::INTEGER AS bin, round(a.x, 6) AS lo, round(z.x, 6) AS hi, round(z.up - a.up, 4) AS n FROM u a JOIN u z ON a.col = z.col AND z.i = a.i + 1"""
     ),
     "distogram_density": _sketch(
-        """, u AS (SELECT s.*, CASE WHEN s.i = 1 THEN 0 WHEN s.v = t.hi THEN total ELSE before + f / 2 END AS up FROM s JOIN t USING (col) WHERE col = 'l_quantity')
-SELECT round(a.v, 6) AS lo, round((z.up - a.up) / (z.v - a.v), 4) AS density FROM u a JOIN u z ON z.i = a.i + 1"""
+        """, u AS (SELECT s.*, CASE WHEN s.i = 1 THEN 0 WHEN s.v = t.hi THEN total ELSE before + f / 2 END AS up FROM s JOIN t USING (col))
+SELECT a.col, round(a.v, 6) AS lo, round((z.up - a.up) / (z.v - a.v), 4) AS density FROM u a JOIN u z ON a.col = z.col AND z.i = a.i + 1"""
     ),
-    "distogram_grouped": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY l_returnflag",
+    "distogram_grouped": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 9) AS mean FROM lineitem GROUP BY l_returnflag",
     "distogram_merge": "SELECT round(l_quantity, 6) AS v, count(*) AS f FROM lineitem GROUP BY l_quantity",
     "distogram_high_cardinality": """
-SELECT count(*) AS n, round(min(l_extendedprice), 2) AS lo, round(max(l_extendedprice), 2) AS hi, round(avg(l_extendedprice), 3) AS mean, true AS bounded FROM lineitem""",
+SELECT count(*) AS n, round(min(l_extendedprice), 2) AS lo, round(max(l_extendedprice), 2) AS hi, round(avg(l_extendedprice), 7) AS mean, true AS bounded FROM lineitem""",
     "distogram_roundtrip": _sketch(
         """, m AS (SELECT col, v, v2, (f + f2) / 2 AS mid, sum((f + f2) / 2) OVER (PARTITION BY col ORDER BY v) AS upto FROM s WHERE v2 IS NOT NULL),
 c AS (SELECT *, floor(total * 0.5) AS c FROM t)

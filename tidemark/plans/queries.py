@@ -156,6 +156,22 @@ def scan_files_accessors(spark, d):
     )
 
 
+@query
+def scan_filter_after_schema_change(spark, d):
+    return fx.evolved(spark, d).scan("o_totalprice > 100000 AND o_orderkey < 8000")
+
+
+@query
+def scan_old_schema(spark, d):
+    ds = fx.evolved(spark, d)
+    return ds.scan("o_custkey < 500", snapshot_id=ds.snapshots()[0].snapshot_id)
+
+
+@query
+def scan_all_versions_after_schema_change(spark, d):
+    return fx.evolved(spark, d).scan_all_versions()
+
+
 @query
 def scan_multi_snapshot_distinct(spark, d):
     return fx.history(spark, d).scan_all_versions()
@@ -281,7 +297,7 @@ def kmv_merge(spark, d):
 
 @query
 def kmv_cardinality(spark, d):
-    return fx.orders(spark, d).describe().select("column", "cardinality", "cardinality_is_exact").filter("column IN ('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority')")
+    return fx.orders(spark, d).describe().select("column", "cardinality", "cardinality_is_exact")
 
 
 @query
@@ -336,7 +352,12 @@ def describe_orders(spark, d):
 
 @query
 def describe_events(spark, d):
-    return fx.events(spark, d).describe().select("column", "row_count", "min", "max", "null_count").filter("column IN ('event_id', 'value', 'big')")
+    return fx.events(spark, d).describe().select("column", "row_count", "min", "max", "null_count")
+
+
+@query
+def describe_after_schema_change(spark, d):
+    return fx.evolved(spark, d).describe().select("column", "row_count", "min", "max", "null_count")
 
 
 @query
@@ -366,7 +387,7 @@ def _sketches(spark, d) -> DataFrame:
 
 
 def _asked(spark, d, **columns: Column) -> DataFrame:
-    return _sketches(spark, d).select("col", *[F.round(c, 6).alias(k) if k != "n" else c.alias(k) for k, c in columns.items()])
+    return _sketches(spark, d).select("col", *[F.round(c, 9).alias(k) if k != "n" else c.alias(k) for k, c in columns.items()])
 
 
 
@@ -425,14 +446,14 @@ def distogram_histogram(spark, d):
 
 @query
 def distogram_density(spark, d):
-    parts = _sketches(spark, d).filter("col = 'l_quantity'").select(F.explode(dg.density(F.col("h"))).alias("p"))
-    return parts.select(F.round("p.lo", 6).alias("lo"), F.round("p.density", 4).alias("density"))
+    parts = _sketches(spark, d).select("col", F.explode(dg.density(F.col("h"))).alias("p"))
+    return parts.select("col", F.round("p.lo", 6).alias("lo"), F.round("p.density", 4).alias("density"))
 
 
 @query
 def distogram_grouped(spark, d):
     s = dg.sketch(fx.table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"])
-    return s.select("l_returnflag", dg.count(F.col("sketch")).cast("long").alias("n"), F.round(dg.mean(F.col("sketch")), 6).alias("mean"))
+    return s.select("l_returnflag", dg.count(F.col("sketch")).cast("long").alias("n"), F.round(dg.mean(F.col("sketch")), 9).alias("mean"))
 
 
 @query
@@ -451,7 +472,7 @@ def distogram_roundtrip(spark, d):
 def distogram_high_cardinality(spark, d):
     s = dg.sketch(fx.table(spark, d, "lineitem"), "l_extendedprice")
     h = F.col("sketch")
-    return s.select(dg.count(h).cast("long").alias("n"), F.round("sketch.min", 2).alias("lo"), F.round("sketch.max", 2).alias("hi"), F.round(dg.mean(h), 3).alias("mean"), (dg.bin_count(h) <= 50).alias("bounded"))
+    return s.select(dg.count(h).cast("long").alias("n"), F.round("sketch.min", 2).alias("lo"), F.round("sketch.max", 2).alias("hi"), F.round(dg.mean(h), 7).alias("mean"), (dg.bin_count(h) <= 50).alias("bounded"))
 
 
 # --- compaction -------------------------------------------------------------------

@@ -8,12 +8,17 @@ from collections import OrderedDict
 from pyspark.sql import SparkSession
 
 _CACHE = 256
+#: Schemes whose ``create`` without overwriting is atomic, and those where the file
+#: system has to be asked for a conditional write (it refuses if it can't).
+EXCLUSIVE = {"file", "hdfs", "viewfs", "webhdfs", "ofs", "o3fs", "gs", "abfs", "abfss"}
+CONDITIONAL = {"s3a", "s3"}
+_CONDITIONAL = "fs.option.create.conditional.overwrite"
 
 
 class FileStore:
     """Reads and writes small documents; data files go through Spark itself.
 
-    ``create`` is exclusive and decides commits. Documents that never change
+    ``create`` is exclusive and decides commits; where that can't be had it raises. Documents that never change
     (snapshots, schemas, statements) are kept in a small cache.
     """
 
@@ -81,12 +86,23 @@ class FileStore:
             with os.fdopen(fd, "w", encoding="utf-8") as f:
                 f.write(text)
             return True
-        if self.exists(path):
+        fs, p = self._at(path)
+        scheme = fs.getUri().getScheme()
+        if scheme not in EXCLUSIVE and scheme not in CONDITIONAL:
+            raise ValueError(f"{scheme}: files can't be made exclusively there, so commits could be lost")
+        if fs.exists(p):
             return False
         try:
-            self._write(path, text, False)
+            made = fs.createFile(p).overwrite(False).recursive()
+            if scheme in CONDITIONAL:
+                made = made.must(_CONDITIONAL, True)
+            stream = made.build()
+            try:
+                stream.write(bytearray(text, "utf-8"))
+            finally:
+                stream.close()  # an object store decides here
         except Exception as e:
-            if "AlreadyExists" in str(e):
+            if any(w in str(e) for w in ("AlreadyExists", "PreconditionFailed", "412")):
                 return False
             raise
         return True
