@@ -91,16 +91,45 @@ def test_pairs_matter():
         rows.append(np.array(sorted([1] * int(a) + [2] * int(b) + [int(10 + rng.integers(30))])))
         y.append(int(a != b))
     m = toxicity.fit(rows, np.array(y))
-    # chance keeps words without an effect of their own out, so force them in
-    old, toxicity.CHI = toxicity.CHI, 0.0
-    try:
-        m = toxicity.fit(rows, np.array(y))
-    finally:
-        toxicity.CHI = old
     got = m.score(4, np.array([1, 2, 3, 3]), np.array([1, 2, 1, 2]))
     assert got[1] > 0.6 and got[2] > 0.6 and got[3] < 0.3
 
 
+def test_an_insult_counts_more_next_to_a_group():
+    """Neither word is worse than chance alone; with each other they are, among many more."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for _ in range(6000):
+        insult, group = rng.random(2) < 0.1
+        noise = 10 + np.flatnonzero(rng.random(400) < 0.1)
+        rows.append(np.array(sorted([1] * int(insult) + [2] * int(group) + noise.tolist())))
+        y.append(int(rng.random() < (0.95 if insult and group else 0.1)))
+    m = toxicity.fit(rows, np.array(y))
+    assert m.v[1] @ m.v[2] > 1
+    got = m.score(4, np.array([1, 2, 3, 3]), np.array([1, 2, 1, 2]))
+    assert got[3] > 0.6 and max(got[:3]) < 0.4
+
+
+def test_scores_of_the_query_are_those_of_the_formula(spark):
+    """A whole query against its formula, written out word by word."""
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    df = docs(spark, ROWS)
+    truth = dict(zip([r[0] for r in ROWS], [r[1] for r in ROWS]))
+    m = toxicity.fit(*lb.sample(df, labels, "toxic", 4, 2, toxicity.ROWS, lb.word_features))
+    q = quality.fit_documents(df, labels)
+    for found, model in ((toxicity.score_documents(df, labels), "fm"), (quality.score_documents(df, labels), "svm")):
+        for r in found.collect()[::7]:
+            features = lb.word_features if model == "fm" else lb.shape_features
+            at = [p for *_, places in features(pa.array([truth[r["doc_id"]]])) for p in places.tolist()]
+            if model == "fm":
+                x = m.bias + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(at) for j in at[:k])
+            else:
+                norm = sum(float(q.ratio[i]) ** 2 for i in at) ** 0.5
+                x = q.slope * (sum(float(q.ratio[i]) * float(q.weight[i]) for i in at) / norm + q.bias) + q.shift
+            want = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            assert abs(r["score"] - want) < 1e-5 and r["predicted"] == int(r["score"] >= 0.3)
+
+
 def test_hinge_dual_reaches_the_optimum():
     rng = np.random.default_rng(3)
     rows = [np.arange(4) for _ in range(60)]

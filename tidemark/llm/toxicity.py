@@ -7,6 +7,11 @@ machine is fitted with logistic loss and AdaGrad on at most ``ROWS`` labelled
 rows on the driver; every document is then scored in one scan without a shuffle.
 The model is 2**18 places of 1 + 8 numbers, whatever the corpus.
 
+Chance gives most words some association with the label in so few rows. Fitted are
+the words whose own association is significant and those of a significant pair:
+words that tell little alone, but more together than each of them and than both
+effects added up. Their weights and factors all take part in the fit.
+
 Defined cases: a null or empty text has no words and scores by the bias alone;
 without labelled rows the score is 0.5 everywhere; rows that repeat are scored one
 by one; a null id is not held out. Columns but ``doc_id`` and ``text`` are unread.
@@ -25,8 +30,10 @@ from tidemark.llm import labelled as lb
 from tidemark.llm.scratch import partitions
 
 ROWS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 12_000, 8, 40, 256, 0.1, 2e-5
-#: Places less associated with the label than this chi-square (p = 0.001) are left out.
-CHI = 10.83
+#: Chi-square from which on a place is fitted for its own association with the label
+#: (p = 0.001), and one for that of a pair of places in at least so many rows (p = 2e-9,
+#: for there are millions of pairs). Places that are paired with all others.
+CHI, PAIR_CHI, PAIR_ROWS, STRONG = 10.83, 36.0, 20, 512
 FOLDS, OUT, CUT = 4, 2, 0.3
 
 
@@ -47,9 +54,51 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(n, doc, place), -30, 30)))
 
 
+def _dense(rows: list[np.ndarray], column: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 0 and 1; ``column`` of a place is its column, -1 if it has none."""
+    doc, at = lb.csr(rows)
+    at = column[at]
+    x = np.zeros((len(rows), width), np.float32)
+    x[doc[at >= 0], at[at >= 0]] = 1
+    return x
+
+
+def paired(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, toxic: np.ndarray, chi: np.ndarray) -> np.ndarray:
+    """The places of pairs on which the label depends in another way than on either
+    place alone and than on both effects added up. Pairs are of one of the ``STRONG``
+    places of the greatest chi-square and any other of at least ``PAIR_ROWS`` rows."""
+    used = np.flatnonzero(seen >= PAIR_ROWS)
+    strong = used[np.argsort(-chi[used], kind="stable")[:STRONG]]
+    base = (y.sum() + 0.5) / (len(y) + 1)
+    rate = lambda at: ((toxic[at] + base) / (seen[at] + 1)).astype(np.float32)
+    odds = lambda p: np.log(p / (1 - p))
+    row = np.full(len(seen), -1)
+    row[strong] = np.arange(len(strong))
+    hit = np.zeros(len(seen), bool)
+    for lo in range(0, len(used), 8192):
+        part = used[lo : lo + 8192]
+        column = np.full(len(seen), -1)
+        column[part] = np.arange(len(part))
+        n, t = (np.zeros((len(strong), len(part)), np.float32) for _ in range(2))
+        for label, sums in ((0, n), (1, t)):
+            mine = np.flatnonzero((y > 0) == (label > 0))
+            for at in range(0, len(mine), 500):
+                some = [rows[i] for i in mine[at : at + 500]]
+                sums += _dense(some, row, len(strong)).T @ _dense(some, column, len(part))
+        n += t
+        p, q = rate(strong)[:, None], rate(part)[None, :]
+        least = np.full(n.shape, np.inf, np.float32)
+        for e in (p, q, 1 / (1 + np.exp(odds(base) - odds(p) - odds(q)))):
+            np.minimum(least, (t - n * e) ** 2 / np.maximum(n * e * (1 - e), np.float32(1)), out=least)
+        least[n < PAIR_ROWS] = 0
+        hit[strong[(least >= PAIR_CHI).any(axis=1)]] = True
+        hit[part[(least >= PAIR_CHI).any(axis=0)]] = True
+    return np.flatnonzero(hit)
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     """Fit a machine to rows of places and 0/1 labels. Places of fewer than three
-    rows, and those that chance would associate with the label, are left at zero."""
+    rows, and those of no significant association, alone or in a pair, stay at zero."""
     size = 1 << lb.BITS
     rng = np.random.default_rng(seed)
     m = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32))
@@ -59,12 +108,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     n, t = float(len(y)), float(y.sum())
     gap = toxic * n - seen * t  # chi-square of the place and the label
     chi = gap**2 * n / np.maximum(seen * (n - seen) * t * (n - t), 1.0)
-    used = np.flatnonzero((seen >= 3) & (chi >= CHI))
+    fitted = (seen >= 3) & (chi >= CHI)
+    fitted[paired(rows, y, seen, toxic, chi)] = True
+    used = np.flatnonzero(fitted)
     short = np.full(size, -1)
     short[used] = np.arange(len(used))
     rows = [r[r >= 0] for r in (short[r] for r in rows)]
-    w, v = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
-    gw, gv = np.full(len(used), 1e-2), np.full((len(used), FACTORS), 1e-2)
+    w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS))
+    gw, gv = np.full(len(used), 1e-2), np.full((len(used), FACTORS), 1e-4)
     rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     bias, gb = float(np.log(rate / (1 - rate))), 1.0
     for _ in range(EPOCHS):
@@ -84,7 +135,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
             dw = np.bincount(inv, e, len(here)) + DECAY * w[here]
             gw[here] += dw**2
             w[here] -= RATE * dw / np.sqrt(gw[here])
-            dv = np.stack([np.bincount(inv, e * (sums[doc, f] - vx[:, f]), len(here)) for f in range(FACTORS)], 1) + DECAY * v[here]
+            dv = np.stack([np.bincount(inv, e * (sums[doc, f] - vx[:, f]), len(here)) for f in range(FACTORS)], 1) + 10 * DECAY * v[here]
             gv[here] += dv**2
             v[here] -= 0.3 * RATE * dv / np.sqrt(gv[here])
             gb += err.sum() ** 2
