@@ -172,6 +172,30 @@ def test_substring_short_windows(spark, rows):
     assert got == repeats(rows, 4)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With two bits of each word the first hash is worthless, yet only what is equal goes."""
+    import pyarrow as pa
+
+    whole = substring.tx.word_hashes
+    monkeypatch.setattr(substring.tx, "word_hashes", lambda b, t, which=0: whole(b, t, which) & np.uint64(3 if which == 0 else 2**64 - 1))
+    rows = [(i, t, s) for i, t, s in MIXED if i is not None and i < 40] + [(60 + i, prose(40), "a") for i in range(60)]
+    chunks = [pa.table({"doc_id": pa.array([r[0] for r in rows[k::3]], pa.int64()), "text": pa.array([r[1] for r in rows[k::3]], pa.string())}) for k in range(3)]
+    lengths, answers = substring.levels(13), [None] * 3
+    for k in range(len(lengths)):
+        asked = pa.concat_tables([substring._asked(lengths, k, 2)((pa.scalar(c, pa.int32()),), chunks[c], answers[c]) for c in range(3)])
+        tell = substring._least if k == len(lengths) - 1 else substring._repeated
+        told = pa.concat_tables([tell(None, asked.filter(pa.compute.equal(asked["bucket"], b))) for b in set(asked["bucket"].to_pylist())])
+        answers = [told.filter(pa.compute.equal(told["chunk"], c)) for c in range(3)]
+    got = [tuple(r.values()) for c in range(3) for r in substring._remove(13, False)(None, chunks[c], answers[c]).to_pylist()]
+    assert sorted(got, key=repr) == repeats(rows)
+
+
+@pytest.mark.parametrize("window", [3, 30, 50, 700])
+def test_substring_of_other_lengths(spark, window):
+    rows = MIXED + [(70, prose(5) + " " + MIXED[-10][1][:9000], "long")]
+    assert rows_of(substring.remove_repeats(docs(spark, rows), window=window)) == repeats(rows, window)
+
+
 def test_blobs():
     rng = np.random.default_rng(3)
     for v in (np.zeros(0, np.uint64), np.array([0, 0, 1, 2**64 - 1], np.uint64), np.sort(rng.integers(0, 2**64, 1001, dtype=np.uint64))):

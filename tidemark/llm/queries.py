@@ -112,6 +112,18 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars
 FROM pieces GROUP BY conv_id""",
+    "op5_substring_dedup": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS place, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+wins AS (
+  SELECT rid, place, i, array_to_string(words[i : i + 12], ' ') AS phrase
+  FROM (SELECT rid, place, words, unnest(range(1, len(words) - 11)) AS i FROM docs)),
+firsts AS (SELECT phrase, min(place) AS least FROM wins GROUP BY phrase),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS k FROM wins JOIN firsts USING (phrase) WHERE least < place),
+said AS (SELECT rid, k, words[k] AS word FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS k FROM docs)),
+kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM said ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)""",
     "op9_mixing": r"""
 WITH docs AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,

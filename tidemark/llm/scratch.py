@@ -39,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each partition of a shuffle of whole texts; the most partitions.
+SHARE, MOST = 32 << 20, 200_000
+
+
+def width(df: DataFrame) -> int:
+    """Partitions for a shuffle of the texts of ``df``: as many as the session says, or
+    more if its files are large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(partitions(df.sparkSession), min(MOST, sum(s for s in sizes if s < 1 << 60) // SHARE))
+
+
 def partitions(spark: SparkSession) -> int:
     """Width of the session's shuffles; what follows may run Python on executors."""
     ship(spark)

@@ -37,7 +37,7 @@ SPACED = _tables(lambda b: not (b == 0x20 or 9 <= b <= 13), False)
 #: Lower-cased words of digits, a-z and every character beyond ASCII.
 ALNUM = _tables(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80, True)
 
-_codes = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
+_codes = np.random.default_rng(20240229).integers(0, 2**64, (2, 256), dtype=np.uint64)
 
 
 def unique(values: np.ndarray) -> np.ndarray:
@@ -141,14 +141,15 @@ def blocks(texts: pa.Array, tables, size: int = BLOCK) -> Iterator[Block]:
         first = last
 
 
-def word_hashes(b: Block, tables) -> np.ndarray:
-    """A 64-bit hash of each word of a block."""
+def word_hashes(b: Block, tables, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word of a block; ``which`` (0, 1) gives two that are
+    independent of each other."""
     if not len(b.starts):
         return np.zeros(0, np.uint64)
     _, fold = tables
     up, down = powers(_BASE, len(b.data) + 1)
     sums = np.zeros(len(b.data) + 1, np.uint64)
-    np.cumsum(_codes[fold][b.data] * up[: len(b.data)], out=sums[1:])
+    np.cumsum(_codes[which][fold][b.data] * up[: len(b.data)], out=sums[1:])
     return mix((sums[b.ends] - sums[b.starts]) * down[b.starts] + (b.ends - b.starts).astype(np.uint64) * _STEP)
 
 
