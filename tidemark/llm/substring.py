@@ -18,8 +18,8 @@ matter to it. So hot passages cost one entry a chunk, and nothing is broadcast.
 Defined cases: a null text has no words. Of rows under one id none has the
 smaller id; a null id is larger than any other. A text of fewer words than a
 window has none. An empty table gives no rows. Only ``doc_id`` and ``text`` are
-read. Candidates are found by a hash of 64 bits; what is removed is equal in a
-second, independent one as well, from other codes of every byte.
+read. Candidates are found by a hash of 64 bits; what is removed is equal in
+32 bits of a second, independent one as well, from other codes of every byte.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ class Chunk:
 
     def checks(self, n: int) -> np.ndarray:
         """The second hash of all runs of ``n`` words."""
-        return tx.window_hashes(self.others, n)
+        return (tx.window_hashes(self.others, n) >> U(32)).astype(np.uint32)
 
     def anchors(self, n: int, of: int) -> np.ndarray:
         """For each window of ``of`` words, the place of the run of ``n`` that stands for
@@ -139,7 +139,7 @@ def _bucketed(chunk: int, values: np.ndarray, marks: np.ndarray, ids: np.ndarray
             "hashes": pa.array([pack(values[s]) for _, s in parts], pa.binary()),
             "marks": pa.array([np.packbits(marks[s]).tobytes() for _, s in parts], pa.binary()),
             "ids": pa.array([ids[s].astype("<i8").tobytes() for _, s in parts], pa.binary()),
-            "checks": pa.array([checks[s].astype("<u8").tobytes() for _, s in parts], pa.binary()),
+            "checks": pa.array([checks[s].astype("<u4").tobytes() for _, s in parts], pa.binary()),
         }
     )
 
@@ -230,7 +230,7 @@ def _known(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _NO_CHECKS, _NO_IDS, _NO_CHECKS
     h = np.concatenate([unpack(b) for b in t.column("hashes").to_pylist()])
     ids = np.concatenate([np.frombuffer(b, "<i8") for b in t.column("ids").to_pylist()])
-    checks = np.concatenate([np.frombuffer(b, "<u8") for b in t.column("checks").to_pylist()])
+    checks = np.concatenate([np.frombuffer(b, "<u4") for b in t.column("checks").to_pylist()])
     order = np.argsort(h, kind="stable")
     return h[order], ids[order] if len(ids) else ids, checks[order] if len(checks) else checks
 
@@ -247,7 +247,7 @@ def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _least(key: tuple, t: pa.Table) -> pa.Table:
     """Answer each chunk with the least id of its windows, where a document of the chunk can have a larger one."""
     hashes = [unpack(b) for b in t.column("hashes").to_pylist()]
-    ids, checks = (np.concatenate([np.frombuffer(b, kind) for b in t.column(c).to_pylist()]) for c, kind in (("ids", "<i8"), ("checks", "<u8")))
+    ids, checks = (np.concatenate([np.frombuffer(b, kind) for b in t.column(c).to_pylist()]) for c, kind in (("ids", "<i8"), ("checks", "<u4")))
     marks = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)).astype(bool) for m, h in zip(t.column("marks").to_pylist(), hashes)])
     every = np.concatenate(hashes)
     order = np.lexsort((checks, every))
@@ -261,7 +261,7 @@ def _least(key: tuple, t: pa.Table) -> pa.Table:
         part = slice(lo, lo + len(h))
         out.append(pack(h[keep[part]]))
         own.append(found[part][keep[part]].astype("<i8").tobytes())
-        seconds.append(checks[part][keep[part]].astype("<u8").tobytes())
+        seconds.append(checks[part][keep[part]].astype("<u4").tobytes())
         lo += len(h)
     kinds = {"hashes": out, "ids": own, "checks": seconds}
     return pa.table({"chunk": t.column("chunk"), **{k: pa.array(v, pa.binary()) for k, v in kinds.items()}})
