@@ -84,6 +84,33 @@ def test_proximity(spark):
     assert near == {0: {1}, 1: {1, 2}}
 
 
+def test_proximity_ends_with_the_document(spark):
+    """The words of a match are of one document, wherever the others of its segment begin."""
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    index = decontam.build_index(docs(spark, [(1, "x alpha beta gamma y", "a"), (2, "delta z", "a"), (3, "beta alpha delta gamma", "a")]).coalesce(1))
+    assert {r["doc_id"] for r in decontam.search(index, items, slop=1).collect() if r["items"]} == {3}
+    spans = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in decontam.search(index, items, slop=1).collect()}
+    assert spans == {1: [], 2: [], 3: [(0, 4)]}
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=9), min_size=1, max_size=6), st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=4), min_size=1, max_size=4), st.integers(0, 2))
+def test_proximity_by_brute_force(spark, texts, phrases, slop):
+    def near(w, p):
+        return any(all(any(w[j] == x and abs(j - s - k) <= slop for j in range(len(w))) for k, x in enumerate(p)) for s in range(-slop, len(w) + slop))
+
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(phrases)], "item_id long, text string")
+    index = decontam.build_index(docs(spark, [(i, " ".join(w), "a") for i, w in enumerate(texts)]).coalesce(1))
+    got = {r["doc_id"]: set(r["items"]) for r in decontam.search(index, items, window=4, slop=slop).collect()}
+    assert got == {i: {str(k) for k, p in enumerate(phrases) if near(w, p)} for i, w in enumerate(texts)}
+
+
+def test_mixed_rows_that_have_a_copy_column(spark):
+    df = docs(spark, TEXTS).withColumn("copy", F.lit("x")).withColumn("_COPY", F.lit("y"))
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "__copy"] and {r["copy"] for r in got.collect()} <= {"x"}
+
+
 # --- chat ----------------------------------------------------------------------------
 
 TURN = st.tuples(st.integers(0, 3), st.one_of(st.none(), st.sampled_from(["user", "assistant", "sys\n<#\\n"])), st.one_of(st.none(), st.text("\\<#/parturnlhb> \né", max_size=20)))

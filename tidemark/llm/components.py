@@ -42,9 +42,19 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes, roots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join() -> tuple[np.ndarray, np.ndarray]:
+        a, c = ([nodes, *(h[0] for h in held)], [roots, *(h[1] for h in held)])
+        return union_find(np.concatenate(a), np.concatenate(c))
+
     for b in batches:
-        a, c = (np.asarray(b.column(i)).astype(np.int64) for i in (0, 1))
-        nodes, roots = union_find(np.concatenate([nodes, a]), np.concatenate([roots, c]))
+        held.append(tuple(np.asarray(b.column(i)).astype(np.int64) for i in (0, 1)))
+        if sum(len(h[0]) for h in held) >= max(1 << 16, len(nodes)):  # so that it is sorted a few times only
+            nodes, roots = join()
+            held = []
+    if held:
+        nodes, roots = join()
     if len(nodes):
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
 

@@ -10,8 +10,9 @@ to every task (a block is bounded). In a segment, a window is looked up from its
 rarest term: the positions of that term, less its offset in the window, are the
 candidates; they are intersected with the offset-adjusted positions of the other
 terms, by rising frequency. All windows are intersected together. With ``slop``,
-each other word may be up to so many places off its own, a proximity match; with
-0 the match is the exact phrase.
+a window matches at a start if each of its words is in the document at most so many
+places off its own; with 0 the match is the exact phrase. The words of a match are
+those from its start on that are in the document.
 
 Defined cases: a null text has no words; rows that repeat a doc_id, and rows
 without one, are documents of their own; an item without words matches nothing;
@@ -39,8 +40,9 @@ from tidemark.llm.scratch import materialize, partitions
 WINDOW = 10
 #: Bytes of text in a segment; a longer document is a segment of its own.
 SEGMENT = 4 << 20
-#: Test items whose windows are held by a task at once.
-ITEMS = 20_000
+#: Test items, and bytes of their texts, whose windows a task holds at once (on average,
+#: where there are several blocks; an item is never split).
+ITEMS, ITEM_BYTES = 20_000, 4 << 20
 
 INDEX = "segment long, doc_ids array<long>, lengths binary, terms binary, frequencies binary, positions binary"
 _HITS = "segment long, doc int, doc_id long, n_words long, items array<string>, starts array<int>, ends array<int>"
@@ -122,8 +124,9 @@ class Windows:
 
 
 def search_segment(w: Windows, terms, frequencies, positions, lengths, slop: int = 0):
-    """(window, start) of the matches in a segment."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(window, document, start, end) of the matches in a segment; the words are
+    numbered through all documents."""
+    none = (np.zeros(0, np.int64),) * 4
     if not len(w.terms) or not len(terms):
         return none
     at = np.minimum(np.searchsorted(terms, w.terms), len(terms) - 1)
@@ -145,23 +148,25 @@ def search_segment(w: Windows, terms, frequencies, positions, lengths, slop: int
     rare = order[:, 0]
     term = w.places[live, rare]
     which = np.repeat(np.arange(len(live)), n[term])
-    start = (lists[expand(head[term], n[term])] & 0xFFFFFFFF) - rare[which]
+    anchor = lists[expand(head[term], n[term])] & 0xFFFFFFFF
+    ends = np.cumsum(lengths)
+    doc = np.searchsorted(ends, anchor, "right")
+    which, doc, start = (np.repeat(v, 2 * slop + 1) for v in (which, doc, anchor - rare[which]))
+    start += np.tile(np.arange(-slop, slop + 1), len(anchor))  # wherever the rarest term may stand
+    first, stop = (ends - lengths)[doc], ends[doc]
     for k in range(1, w.places.shape[1]):
         if not len(which):
             return none
         col = order[which, k]
         term = w.places[live[which], col]
-        lo = term << 32 | np.maximum(start + col - slop, 0)
-        found = lists[np.minimum(np.searchsorted(lists, lo), len(lists) - 1)]
-        ok = (term < 0) | ((found >= lo) & (found <= (term << 32 | np.maximum(start + col + slop, 0))) & (start + col + slop >= 0))
-        which, start = which[ok], start[ok]
+        lo, hi = np.maximum(start + col - slop, first), np.minimum(start + col + slop, stop - 1)
+        found = lists[np.minimum(np.searchsorted(lists, term << 32 | np.clip(lo, 0, None)), len(lists) - 1)]
+        ok = (term < 0) | ((lo <= hi) & (found >= (term << 32 | lo)) & (found <= (term << 32 | np.clip(hi, 0, None))))
+        which, doc, start, first, stop = which[ok], doc[ok], start[ok], first[ok], stop[ok]
     window = live[which]
-    ends = np.cumsum(lengths)
-    last = start + w.size[window] - 1
-    ok = (start >= 0) & (last < (ends[-1] if len(ends) else 0))
-    window, start, last = window[ok], start[ok], last[ok]
-    ok = np.searchsorted(ends, start, "right") == np.searchsorted(ends, last, "right")
-    return window[ok], start[ok]
+    low, high = np.maximum(start, first), np.minimum(start + w.size[window], stop)
+    ok = low < high
+    return window[ok], doc[ok], low[ok], high[ok]
 
 
 def _search(w: Windows, slop: int):
@@ -172,16 +177,15 @@ def _search(w: Windows, slop: int):
                 lengths = np.frombuffer(row["lengths"].as_py(), "<i4").astype(np.int64)
                 terms = np.frombuffer(row["terms"].as_py(), "<u8")
                 frequencies = np.frombuffer(row["frequencies"].as_py(), "<i4").astype(np.int64)
-                window, start = search_segment(w, terms, frequencies, _decode(row["positions"].as_py()), lengths, slop)
-                ends = np.cumsum(lengths)
-                doc = np.searchsorted(ends, start, "right")
+                window, doc, start, end = search_segment(w, terms, frequencies, _decode(row["positions"].as_py()), lengths, slop)
+                begin = (np.cumsum(lengths) - lengths)[doc] if len(doc) else 0
                 items: list[list[str]] = [[] for _ in lengths]
                 starts: list[list[int]] = [[] for _ in lengths]
                 stops: list[list[int]] = [[] for _ in lengths]
                 for d, x in np.unique(np.stack([doc, w.item[window]]), axis=1).T.tolist() if len(doc) else ():
                     items[d].append(w.ids[x])
                 order = np.argsort(start, kind="stable")
-                for d, a, b in zip(doc[order].tolist(), start[order].tolist(), (start + w.size[window])[order].tolist()):
+                for d, a, b in zip(doc[order].tolist(), (start - begin)[order].tolist(), (end - begin)[order].tolist()):
                     if stops[d] and a <= stops[d][-1]:
                         stops[d][-1] = max(stops[d][-1], b)
                     else:
@@ -199,12 +203,13 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     the items with a matching window, sorted), spans (words, end exclusive). An
     index that isn't ``stored`` is written first if several blocks have to read it."""
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = items.count()
-    parts = [items] if n <= block else []
-    if not parts:
+    found = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(-(-found["n"] // block), -(-found["bytes"] // ITEM_BYTES))
+    parts = [items]
+    if n_blocks > 1:
         placed = materialize(ranked(items, [], ["item_id", "text"], "items"), "items")
         index = index if stored else materialize(index, "postings")
-        parts = [placed.filter((F.col("rank") >= lo) & (F.col("rank") < lo + block)) for lo in range(0, n, block)]
+        parts = [placed.filter(F.col("rank") % n_blocks == k) for k in range(n_blocks)]
     hits = None
     for part in parts:
         got = part.select("item_id", "text").toPandas()

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
-from tidemark.llm.scratch import partitions
+from tidemark.llm.scratch import materialize, partitions
 
 #: Hashed features are places below 2**BITS.
 BITS = 18
+#: Bytes of the features of all training rows (4 a feature).
+BYTES = 256 << 20
 
 #: Features of consecutive documents: (document, place), distinct and sorted.
 Features = Callable[[pa.Array], Iterator[tuple[int, int, np.ndarray, np.ndarray]]]
@@ -40,8 +42,9 @@ def per_text(texts: pa.Array, features: Features, score: Callable[[int, np.ndarr
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, rows: int, features: Features) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature places and 0/1 labels of at most ``rows`` labelled documents whose
-    remainder is not ``out``: the labelled ids that come first by hash. Null ids
-    and labels are left out; of repeated labels the largest holds."""
+    remainder is not ``out``: the labelled ids that come first by hash, fewer if their
+    features would take over ``BYTES``. Null ids and labels are left out; of repeated
+    labels the largest holds, of rows that share an id one."""
     partitions(docs.sparkSession)
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -62,8 +65,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int,
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "places"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    got = picked.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, places binary").toPandas()
-    got = got.sort_values(["doc_id", "places"], kind="stable").head(rows)
+    found = picked.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, places binary")
+    one = materialize(found.groupBy("doc_id", "label").agg(F.min("places").alias("places")), "features")
+    sizes = one.select("doc_id", F.xxhash64("doc_id").alias("h"), F.octet_length("places").alias("n")).toPandas().sort_values(["h", "doc_id"])
+    fits = sizes["n"].cumsum() <= BYTES
+    got = (one if fits.all() else one.join(F.broadcast(docs.sparkSession.createDataFrame(sizes[fits][["doc_id"]])), "doc_id", "left_semi")).toPandas()
+    got = got.sort_values("doc_id", kind="stable")
     return [np.frombuffer(p, "<u4") for p in got["places"]], (got["label"].to_numpy() > 0).astype(np.int64)
 
 

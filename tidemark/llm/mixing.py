@@ -112,7 +112,11 @@ def mix_plan(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: t
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of ``docs`` once for every copy that is taken,
-    numbered from 0 in ``copy``. Rows equal in id, source and size share one decision."""
+    numbered from 0 in ``copy``, or in ``_copy`` or one with more underscores if there
+    is such a column. Rows equal in id, source and size share one decision."""
+    number = "copy"
+    while number.lower() in {c.lower() for c in docs.columns}:
+        number = "_" + number
     plan = mix_plan(docs, **how).filter("copies > 0").groupBy("doc_id", "skey", "size").agg(F.max("copies").alias("_copies"))
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("skey").alias("_skey"), F.col("size").alias("_size"), "_copies")
     keyed = docs.select(F.struct(*docs.columns).alias("_row"))
@@ -120,5 +124,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     same = F.col("_id").eqNullSafe(ident.cast("long")) & (F.col("_skey") == source_key(source)) & (F.col("_size") == n_words(text))
     return keyed.join(plan, same, "inner").select(
         *[F.col("_row")[c].alias(c) for c in docs.columns],
-        F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).alias("copy"),
+        F.explode(F.sequence(F.lit(0), F.col("_copies").cast("int") - 1)).alias(number),
     )
