@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tests.llm.helpers import CLASH, docs, rows_of, words
 from tidemark.llm import components as cc
 from tidemark.llm import exactdedup as ed
-from tidemark.llm import joins, simhash, substring
+from tidemark.llm import joins, rowdrop, simhash, substring
 from tidemark.llm import linededup as ld
 
 R = random.Random(4)
@@ -64,12 +64,12 @@ def test_exact(spark, clash):
 
 def test_exact_keeps_all_columns_and_takes_an_empty_table(spark):
     df = docs(spark, MIXED, True)
-    left = ed.exact_dedup(df)
+    left = rowdrop.exact_dedup(df)
     assert set(left.columns) == set(df.columns) and CLASH[0] in left.columns
     ids = [r["doc_id"] for r in left.select("doc_id").collect()]
     assert {i for i in ids if i is not None} == {0, 1, 2, 3, 4, 5, 20, 21, 22, 23, 30, 33, 34, 35, 40, 41} - {0} | {min(10 + i for i in range(5) if len(MIXED[6 + i][1]) == max(len(m[1]) for m in MIXED[6:11]))}
     none = df.limit(0)
-    assert ed.exact_groups(none).count() == 0 and ed.exact_dedup(none).count() == 0
+    assert ed.exact_groups(none).count() == 0 and rowdrop.exact_dedup(none).count() == 0
 
 
 def test_lookup_join_beyond_the_broadcast(spark):
@@ -134,7 +134,7 @@ def test_simhash_pairs_of_a_crowd(spark):
 
 def test_simhash_keeps_one_of_each_component(spark):
     df = docs(spark, MIXED)
-    left = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    left = {r["doc_id"] for r in rowdrop.drop_near_duplicates(df).collect()}
     assert left == {r[0] for r in near(MIXED) if r[0] is None or r[0] == r[3]}
 
 

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
-from tidemark.llm.exactdedup import without
 from tidemark.llm.mixing import ranked
 from tidemark.llm.scratch import materialize, partitions
 
@@ -236,10 +235,3 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     return hits.withColumn("n_hit", F.when(F.size("spans") == 0, F.lit(0).cast("long")).otherwise(covered)).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated")
     )
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no window of an item occurs, with all columns.
-    Rows without an id stay."""
-    gone = contamination(docs, items).filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return without(docs, materialize(gone, "gone"))

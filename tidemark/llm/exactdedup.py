@@ -179,16 +179,3 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         (alone | F.col("keep_id").isNull() | F.coalesce((F.col("doc_id") == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")), F.lit(False))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
-
-
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies, with all their columns. An id goes
-    when each row that carries it does; rows without an id stay."""
-    gone = exact_groups(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept")
-    return without(docs, materialize(gone.select("doc_id").filter("doc_id is not null"), "gone"))
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``gone`` (distinct, materialised)."""
-    small = gone.count() <= 1_000_000  # 8 MB of ids
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")

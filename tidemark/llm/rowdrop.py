@@ -1,9 +1,8 @@
-"""The dropping stages with a decision for every row.
+"""Dropping rows of documents by what an operator finds.
 
-``exact_dedup``, ``drop_near_duplicates`` and ``drop_contaminated`` go by doc_id:
-rows without one stay, and rows that share one go or stay together. Here each row
-of the input gets a number of its own, which the operator takes for its id, and
-rows are dropped by that number. So null and repeated ids change nothing.
+Each row of the input gets a number of its own, which the operator takes for its
+id, and rows are dropped by that number. So rows without an id, and rows that share
+one, are decided one by one.
 
 Of a group the longest text stays (exact copies only), then the smallest id, a
 null id after all others; rows that are still equal are told apart by a hash of

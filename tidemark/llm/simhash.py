@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import text as tx
 from tidemark.llm.components import components
-from tidemark.llm.exactdedup import without
 from tidemark.llm.joins import lookup
 from tidemark.llm.scratch import materialize, partitions
 
@@ -158,10 +157,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return lookup(prints, info, ["fp"], "n", "inner").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("n_near").cast("long").alias("n_near"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the smallest id, with all
-    columns. Rows without an id stay."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, materialize(gone, "gone"))
