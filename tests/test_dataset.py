@@ -271,3 +271,21 @@ def test_added_files_count_once_whatever_their_names(spark, catalog, tmp_path):
         s = ds.add_files([name, name], "ann")
     assert s.summary["total-data-files"] == 1 and ds.scan().count() == 2 and ds.scan("id = 2").count() == 1
     assert ins.verify_manifest(ds).count() == 0
+
+
+def test_a_batch_is_appended_once(spark, catalog, tmp_path):
+    from tidemark.streaming.sink import append_stream
+
+    df = spark.createDataFrame([(1,), (2,)], "id long")
+    df.write.parquet(str(tmp_path / "in"))
+    ds = catalog.create_dataset("t.streamed", df.schema, author="ann")
+    run = lambda at: append_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ds, "ann", at).awaitTermination()
+    run(f"{tmp_path}/check")
+    assert ds.refresh().scan().count() == 2 and list(ds.doc["streams"].values()) == [[0, 1]]
+    # the commit was made, the mark wasn't, and the batch comes again
+    import shutil
+
+    catalog._patch_dataset("t.streamed", {"streams": {}})
+    shutil.rmtree(f"{tmp_path}/check/commits")
+    run(f"{tmp_path}/check")
+    assert ds.refresh().scan().count() == 2 and list(ds.doc["streams"].values()) == [[0, 1]]

@@ -100,3 +100,29 @@ def test_sketch_column_agrees_with_the_class(spark):
     got = dg.sketch(df, "x").select(dg.histogram(F.col("sketch"), 4).alias("p")).first()["p"]
     assert [tuple(p) for p in got] == [pytest.approx(p) for p in h.histogram(4)]
     assert dg.sketch(df.filter("x < 0"), "x").count() == 0
+
+
+def test_single_updates_follow_the_definition():
+    """Against a plain sketch that merges the two closest centroids after each value."""
+    rng = np.random.default_rng(8)
+    for capacity in (1, 2, 7, 50):
+        h, bins = Distogram(capacity), []
+        for x in np.round(rng.normal(size=3000), 3).tolist():
+            h.update(x)
+            bins = sorted([(v, f + 1) if v == x else (v, f) for v, f in bins] + [(x, 1)] * (x not in [v for v, _ in bins]))
+            if len(bins) > capacity:
+                k = min(range(len(bins) - 1), key=lambda i: bins[i + 1][0] - bins[i][0])
+                (a, m), (b, n) = bins[k : k + 2]
+                bins[k : k + 2] = [((a * m + b * n) / (m + n), m + n)]
+        assert h.count() == 3000 and np.allclose(h.bins, bins)
+
+
+def test_many_skewed_values_are_parted_by_rank():
+    x = np.random.default_rng(2).lognormal(0, 2, 200_000)
+    h, one = Distogram().load_many(x), Distogram()
+    for v in x[:20_000].tolist():
+        one.update(v)
+    assert h.count() == len(x) and h.bounds() == (x.min(), x.max()) and np.isclose(h.mean(), x.mean())
+    for q in (0.5, 0.9):  # as near as value by value
+        true = np.quantile(x, q)
+        assert abs(h.quantile(q) - true) <= 1.2 * abs(one.quantile(q) - true) + 0.05 * true

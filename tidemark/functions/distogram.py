@@ -11,6 +11,7 @@ expressions over ``struct<bins:array<struct<v:double,f:double>>,min,max>``.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from tidemark.ship import ship
 CAPACITY = 50
 #: Values that a task collects before it adds them to its sketches (8 bytes each).
 HELD = 1 << 20
+#: Values that ``update`` keeps until it puts them in.
+LATE = 4096
 
 
 class Distogram:
@@ -34,9 +37,26 @@ class Distogram:
         if capacity < 1:
             raise ValueError("the capacity has to be positive")
         self.capacity = capacity
-        self.v, self.f = np.zeros(0), np.zeros(0)
-        self.min: float | None = None
-        self.max: float | None = None
+        self._v, self._f = np.zeros(0), np.zeros(0)
+        self._min: float | None = None
+        self._max: float | None = None
+        self._late: list[tuple[float, float]] = []
+
+    def _field(name: str) -> property:  # noqa: N805  made once, while the class is
+        def get(self):
+            if self._late:
+                self._settle()
+            return getattr(self, name)
+
+        def put(self, value) -> None:
+            if self._late:
+                self._settle()
+            setattr(self, name, value)
+
+        return property(get, put)
+
+    v, f, min, max = _field("_v"), _field("_f"), _field("_min"), _field("_max")
+    del _field
 
     @property
     def bins(self) -> list[tuple[float, float]]:
@@ -62,44 +82,74 @@ class Distogram:
             self.v, self.f = np.delete(self.v, i + 1), np.delete(self.f, i + 1)
 
     def _range(self, lo: float, hi: float) -> None:
-        self.min = lo if self.min is None else min(self.min, lo)
-        self.max = hi if self.max is None else max(self.max, hi)
+        self.min = lo if self.min is None or lo < self.min else self.min
+        self.max = hi if self.max is None or hi > self.max else self.max
 
     def update(self, value: float, count: float = 1) -> Distogram:
-        """Add a value ``count`` times."""
+        """Add a value ``count`` times. Values are kept in a list and put in when it is
+        full, or when the sketch is looked at."""
         if count <= 0:
             raise ValueError("count has to be positive")
-        self._put(np.array([float(value)]), np.array([float(count)]))
-        self._range(float(value), float(value))
+        self._late.append((value, count))
+        if len(self._late) >= LATE:
+            self._settle()
         return self
 
+    def _settle(self) -> None:
+        """Put the values of ``update`` in one by one, as they came."""
+        late, self._late = self._late, []
+        v, f, low, high = self._v.tolist(), self._f.tolist(), self._min, self._max
+        cap = self.capacity
+        gaps = [b - a for a, b in zip(v, v[1:])]
+        for x, n in late:
+            x = float(x)
+            low, high = x if low is None or x < low else low, x if high is None or x > high else high
+            i = bisect_left(v, x)
+            if i < len(v) and v[i] == x:
+                f[i] += n
+                continue
+            v.insert(i, x)
+            f.insert(i, float(n))
+            if i < len(v) - 1:
+                gaps.insert(i, v[i + 1] - x)
+            elif i:
+                gaps.append(0.0)
+            if i:
+                gaps[i - 1] = x - v[i - 1]
+            if len(v) > cap:
+                if cap == 1:
+                    k = 0
+                else:
+                    k = gaps.index(min(gaps))
+                total = f[k] + f[k + 1]
+                v[k] = (v[k] * f[k] + v[k + 1] * f[k + 1]) / total
+                f[k] = total
+                del v[k + 1], f[k + 1], gaps[k]
+                if k < len(gaps):
+                    gaps[k] = v[k + 1] - v[k]
+                if k:
+                    gaps[k - 1] = v[k] - v[k - 1]
+        self._v, self._f, self._min, self._max = np.array(v, float), np.array(f, float), low, high
+
     def load_many(self, values: Iterable[float]) -> Distogram:
-        """Add many values at once. Of over 5 x capacity distinct ones, those in one
-        of that many equal parts of their range are first put together at their mean."""
+        """Add many values at once. Of over 5 x capacity distinct ones, neighbours by rank
+        are first put together at their mean: parts of equally many values, finer towards
+        both ends, and none of over twice its share unless it is one value."""
         x = np.asarray(values, float)
-        x = x[~np.isnan(x)]
+        x = np.sort(x[~np.isnan(x)])
         if not len(x):
             return self
-        lo, hi = float(x.min()), float(x.max())
+        new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        v, n = x[new], np.diff(np.append(new, len(x))).astype(float)
         fine = 5 * self.capacity
-        if len(x) > fine and np.isfinite(hi - lo) and hi > lo:
-            head, n = np.unique(x[: 4 * fine], return_counts=True) if len(x) > 4 * fine else np.unique(x, return_counts=True)
-            many = len(head) > fine
-        else:
-            many = False
-        if many:
-            at = np.minimum(((x - lo) * (fine / (hi - lo))).astype(np.int64), fine - 1)
-            n = np.bincount(at, minlength=fine)
-            s = np.bincount(at, x, fine)
-            v, n = s[n > 0] / n[n > 0], n[n > 0]
-        else:
-            v, n = np.unique(x, return_counts=True)
-            if len(v) > fine and np.isfinite(hi - lo):
-                at = np.minimum(((v - lo) * (fine / (hi - lo))).astype(np.int64), fine - 1)
-                w, s = np.bincount(at, n, fine), np.bincount(at, v * n, fine)
-                v, n = s[w > 0] / w[w > 0], w[w > 0]
-        self._put(v, n.astype(float))
-        self._range(lo, hi)
+        if len(v) > fine and np.isfinite(x[0]) and np.isfinite(x[-1]):
+            share = (1 - np.cos(np.pi * np.arange(1, fine) / fine)) / 2  # narrow at the ends
+            cuts = np.unique(np.searchsorted(np.cumsum(n), share * len(x), "left"))
+            cuts = np.unique(np.concatenate([[0], cuts, cuts[cuts < len(v) - 1] + 1]))  # a frequent value stays alone
+            w = np.add.reduceat(n, cuts)
+            v, n = np.add.reduceat(v * n, cuts) / w, w
+        self._put(v, n)
+        self._range(float(x[0]), float(x[-1]))
         return self
 
     def merge(self, other: Distogram | None) -> Distogram:

@@ -147,10 +147,11 @@ class Compactor:
         agent = {"committer": self.agent, "strategy": self.strategy, "decision": self.decision, "kind": plan.kind, "reason": plan.reason}
         return self.dataset.replace_files(plan.files, df, self.author, f"compact by {self.agent}", agent, plan.n_bytes)
 
-    def compact_all(self, limit: int = 1000) -> list[Snapshot]:
-        """Make changes until none is left, at most ``limit``."""
+    def compact_all(self, limit: int | None = None) -> list[Snapshot]:
+        """Make changes until none is left, or as many as ``limit``; ``plan`` tells what
+        a limit left."""
         done: list[Snapshot] = []
-        while len(done) < limit and (s := self.compact()) is not None:
+        while (limit is None or len(done) < limit) and (s := self.compact()) is not None:
             done.append(s)
         return done
 

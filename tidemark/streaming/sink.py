@@ -10,16 +10,19 @@ from tidemark.operators.dataset import Dataset
 
 def append_stream(stream: DataFrame, dataset: Dataset, author: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Start a query that appends each micro-batch. A batch that was committed
-    before a restart is recognised by its message and not appended again."""
+    before a restart is recognised and not appended again: by the mark that the dataset
+    keeps of the last batch, and by the messages of the commits after that one."""
 
     def write(batch: DataFrame, number: int) -> None:
         mark = f"stream {checkpoint} batch {number}"
-        dataset.refresh()
-        last = dataset.snapshot()
-        if (last and last.commit_message == mark) or batch.isEmpty():
+        marks = dataset.refresh().doc.get("streams", {})
+        done, since = marks.get(checkpoint, (-1, 0))
+        if number <= done or batch.isEmpty():
             return
-        if any(s.commit_message == mark for s in dataset.snapshots()):
-            return
-        dataset.append(batch, author, mark)
+        later = range(since + 1, dataset.next_sequence_number())
+        at = next((i for i in later if dataset._load(i).commit_message == mark), None)
+        if at is None:
+            at = dataset.append(batch, author, mark).sequence_number
+        dataset.doc = dataset.catalog._patch_dataset(dataset.identifier, {"streams": {**marks, checkpoint: [number, at]}})
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
