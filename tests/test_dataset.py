@@ -289,3 +289,38 @@ def test_a_batch_is_appended_once(spark, catalog, tmp_path):
     shutil.rmtree(f"{tmp_path}/check/commits")
     run(f"{tmp_path}/check")
     assert ds.refresh().scan().count() == 2 and list(ds.doc["streams"].values()) == [[0, 1]]
+
+
+def test_split_reads_each_part_alone(spark, catalog):
+    from tidemark.plans.fixtures import split
+
+    df = spark.range(90).select("id", F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit(None), F.lit("X")), (F.col("id") % 4 + 1).cast("int")).alias("status")).repartition(5)
+    parts = split(df, F.col("status"), ("F", "none", "O"))
+    assert [p.count() for p in parts] == [23, 0, 23, 44] and [p.rdd.getNumPartitions() for p in parts] == [1] * 4
+    files = [f for p in parts for f in p.inputFiles()]
+    assert len(files) == len(set(files)) and {r["status"] for r in parts[2].collect()} == {"O"}
+    assert [p.count() for p in split(df.filter("status = 'F'"), F.col("status"), ("F", "O"))] == [23, 0]
+
+
+def test_frames_written_together_are_committed_one_by_one(spark, catalog):
+    df = spark.createDataFrame([(1, "F"), (2, "O"), (3, "O"), (4, None)], "id bigint, status string")
+    ds = catalog.create_dataset("sales.each", df.schema, author="ann")
+    one, none, more = ds.write_each([df.filter("id = 1"), df.filter("id > 9"), df.filter("id > 1")], "ann")
+    assert ds.snapshot() is None
+    ds.append(one, "ann")
+    ds.append(none, "ann")
+    assert [r["id"] for r in ds.scan().collect()] == [1]
+    ds.overwrite(more, "ann")
+    alone = catalog.create_dataset("sales.alone", df.schema, author="ann")
+    alone.append(df.filter("id > 1"), "ann")
+    columns = [c for c in mf.SCHEMA.names if c not in ("file_path", "file_size_in_bytes", "schema_id")]
+    entry = lambda d: sorted(map(tuple, mf.per_column(d.manifest(), df.columns).drop("file_path").distinct().collect()))
+    assert entry(ds) == entry(alone) and ds.manifest().select(columns).agg(F.sum("record_count")).first()[0] == 3
+    assert ds.snapshot().summary["added-records"] == 3 and ds.snapshots()[1].summary["added-data-files"] == 0
+    with pytest.raises(ValueError):
+        ds.append(one, "")
+    catalog.set_schema("sales.each", spark.createDataFrame([], "id bigint").schema, "ben")
+    with pytest.raises(ValueError):
+        ds.refresh().append(one, "ann")
+    with pytest.raises(ValueError):
+        ds.write_each([df], "ann")
