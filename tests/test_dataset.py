@@ -324,3 +324,37 @@ def test_frames_written_together_are_committed_one_by_one(spark, catalog):
         ds.refresh().append(one, "ann")
     with pytest.raises(ValueError):
         ds.write_each([df], "ann")
+
+
+def test_statistics_match_plain_expressions(spark, catalog):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, 2, 1.5, 2.5, True, date(1969, 12, 30), datetime(1960, 1, 2, 3), "zebra and a longer text", b"\xff" * 20, Decimal("12.34"), [1, 2], -7),
+        (-(2**62), -5, nan, nan, None, date(2200, 1, 1), datetime(2100, 1, 1), "\u00e9\u00e9\u00e9\u00e9\u00e9", b"", Decimal("-0.01"), None, None),
+        (None, None, None, -inf, False, None, None, None, None, None, [], 9),
+        (7, 3, -0.0, 0.0, True, date(2000, 2, 29), datetime(1999, 5, 6), "", b"\x00a", Decimal("99.99"), [5], 3),
+        (7, 3, 3.25, inf, True, date(2000, 2, 29), datetime(1999, 5, 6), "a", b"\x00a", Decimal("99.99"), [5], 3),
+    ]
+    ddl = "a long, b int, c float, d double, e boolean, f date, g timestamp, h string, i binary, j decimal(10,2), k array<int>, l short"
+    df = spark.createDataFrame(rows, ddl).withColumn("m", F.col("g").cast("timestamp_ntz")).coalesce(1)
+    from tidemark.functions import columns as fc
+
+    for method in ("xxhash64", "md5"):
+        ds = catalog.create_dataset(f"t.{method}", df.schema, {"sketch-hash": method}, author="ann")
+        ds.append(df, "ann")
+        for r in mf.per_column(ds.manifest(), df.columns).collect():
+            c, t = F.col(r["column"]), df.schema[r["column"]].dataType
+            o, kind = fc.ordinal(c, t), fc.kind(t)
+            want = df.agg(F.count_if(c.isNull()), F.min(o), F.max(o), F.count_if(F.isnan(c)) if kind == "float" else F.lit(0)).first()
+            assert (r["nulls"], r["low"], r["high"], r["nans"]) == tuple(want), r["column"]
+            if kind in ("other", "bool"):
+                continue
+            hashes = {h % 2**64 for (h,) in df.select(fc.hash64(c, t, method)).collect() if h is not None}
+            assert [int(h) for h in r["hashes"]] == sorted(hashes), (method, r["column"])
+            bins = df.filter(o.isNotNull()).select(fc.bin_index(o, F.lit(want[1]), F.lit(want[2])).alias("x")).groupBy("x").count().collect()
+            assert {i: n for i, n in enumerate(r["bins"]) if n} == {x: n for x, n in bins}, r["column"]
+            if kind not in ("string", "binary"):
+                assert (r["low_display"], r["high_display"]) == tuple(df.agg(F.min(c).cast("string"), F.max(c).cast("string")).first()), r["column"]
