@@ -358,3 +358,16 @@ def test_statistics_match_plain_expressions(spark, catalog):
             assert {i: n for i, n in enumerate(r["bins"]) if n} == {x: n for x, n in bins}, r["column"]
             if kind not in ("string", "binary"):
                 assert (r["low_display"], r["high_display"]) == tuple(df.agg(F.min(c).cast("string"), F.max(c).cast("string")).first()), r["column"]
+
+
+def test_short_rows_of_a_file_are_measured_by_several_tasks(spark, catalog):
+    import pyarrow.parquet as pq
+
+    df = spark.range(600_000).coalesce(1)
+    ds = catalog.create_dataset("t.short", df.schema, author="ann")
+    ds.append(df, "ann")
+    (path,) = ds.scan().inputFiles()
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    groups = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(groups) == 600_000 and max(groups) <= 1 << 18
+    assert ds.manifest().first()["record_count"] == 600_000
