@@ -371,3 +371,18 @@ def test_short_rows_of_a_file_are_measured_by_several_tasks(spark, catalog):
     groups = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
     assert sum(groups) == 600_000 and max(groups) <= 1 << 18
     assert ds.manifest().first()["record_count"] == 600_000
+
+
+def test_md5_of_whole_numbers_and_short_texts_is_taken_once_a_batch(spark, catalog):
+    from tidemark.functions import columns as fc
+
+    texts = F.when(F.col("id") % 5 > 0, F.concat(F.repeat(F.lit("é"), (F.col("id") % 40).cast("int")), (F.col("id") % 3).cast("string")))
+    df = spark.range(-50, 150).select("id", (F.col("id") % 7).cast("byte").alias("n"), texts.alias("t"), F.timestamp_micros(F.col("id") * 10**9).alias("at")).coalesce(1)
+    ds = catalog.create_dataset("t.digests", df.schema, {"sketch-hash": "md5"}, author="ann")
+    ds.append(df, "ann")
+    for r in mf.per_column(ds.manifest(), df.columns).collect():
+        hashes = {h % 2**64 for (h,) in df.select(fc.hash64(F.col(r["column"]), df.schema[r["column"]].dataType, "md5")).collect() if h is not None}
+        assert [int(h) for h in r["hashes"]] == sorted(hashes)[:32], r["column"]
+    rows = df.select(F.lit("p").alias("_path"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    plan = mf._second_pass(rows, df.schema, {}, "md5")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1  # of texts that are not short
